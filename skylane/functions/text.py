@@ -103,15 +103,21 @@ def _jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3.0
 
 
+# Similarity above which a shared prefix counts, and the weight and length of that prefix.
+PREFIX_FLOOR, PREFIX_WEIGHT, PREFIX_LENGTH = 0.7, 0.1, 4
+
+
 def jaro_winkler_score(a: str, b: str) -> float:
-    """Jaro similarity raised by up to four shared leading characters."""
+    """Jaro similarity, raised by shared leading characters once it is above the floor."""
     base = _jaro(a, b)
+    if base <= PREFIX_FLOOR:
+        return base
     prefix = 0
-    for x, y in zip(a[:4], b[:4]):
+    for x, y in zip(a[:PREFIX_LENGTH], b[:PREFIX_LENGTH]):
         if x != y:
             break
         prefix += 1
-    return min(base + 0.1 * prefix * (1.0 - base), 1.0)
+    return base + PREFIX_WEIGHT * prefix * (1.0 - base)
 
 
 @F.pandas_udf("double")
