@@ -5,7 +5,7 @@ An edge row is ``src, dst, kind ('gate' | 'spatial'), distance`` with the destin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylane.functions.geometry import distance
@@ -31,22 +31,26 @@ def known_jumps(jumps: DataFrame, systems: DataFrame) -> DataFrame:
 
 
 def dangling_jumps(jumps: DataFrame, systems: DataFrame) -> DataFrame:
-    """Jumps with an unknown end, with that end: one row per bad end."""
-    ends = jumps.select("src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("unknown_id"))
+    """Jumps with an unknown end: one row per jump row and distinct unknown end."""
+    known = systems.select(F.col("id").alias("known_src"))
+    marked = jumps.join(known, jumps["src"] == known["known_src"], "left").select(
+        "src", "dst", F.col("known_src").isNotNull().alias("src_known")
+    )
+    ends = marked.select("*", F.explode(F.array_distinct(F.array("src", "dst"))).alias("unknown_id"))
     return ends.join(systems.select("id"), F.col("unknown_id") == F.col("id"), "left_anti")
 
 
 def dangling_report(jumps: DataFrame, systems: DataFrame, sample: int = 5) -> DataFrame:
-    """Number of skipped jumps and the smallest few unknown ids."""
+    """Rows ``item, value``: the number of skipped jump rows and the smallest few unknown ids."""
     bad = dangling_jumps(jumps, systems)
-    counted = bad.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("ends"))
-    # Duplicate jump rows each count as skipped, hence the join-free sum over raw rows below.
-    skipped = jumps.join(counted.select("src", "dst"), ["src", "dst"], "left_semi").agg(
-        F.count(F.lit(1)).alias("skipped")
+    skipped = bad.agg(
+        # A jump with two bad ends gives two rows here; count it at its first bad end only.
+        F.count_if((F.col("unknown_id") == F.col("src")) | F.col("src_known")).alias("value")
+    )
+    few = bad.select(F.col("unknown_id").alias("value")).distinct().orderBy("value").limit(sample)
+    return skipped.select(F.lit("skipped").alias("item"), "value").unionByName(
+        few.select(F.lit("unknown_id").alias("item"), "value")
     )
-    few = bad.select("unknown_id").distinct().orderBy("unknown_id").limit(sample)
-    listed = few.agg(F.array_sort(F.collect_list("unknown_id")).alias("sample_ids"))
-    return skipped.join(listed)
 
 
 def gate_pairs(jumps: DataFrame, systems: DataFrame) -> DataFrame:
@@ -106,7 +110,9 @@ def spatial_edges(
             total = systems.count()
             wanted = NEIGHBOUR_CEILING if total > LARGE_MAP_SYSTEMS else max(total, 1)
         queries = queries.withColumn("k", F.lit(wanted)).withColumn("radius", F.lit(max_jump).cast("double"))
-        ranked = nearest(queries, targets, keep=F.col("query_id") != F.col("id"), max_k=wanted)
+        ranked = nearest(
+            queries, targets, keep=F.col("query_id") != F.col("id"), max_k=wanted, per_place=wanted + 1
+        )
     return ranked.select(
         F.col("query_id").alias("src"),
         F.col("id").alias("dst"),
@@ -125,9 +131,11 @@ def merge_edges(gates: DataFrame, spatial: DataFrame) -> DataFrame:
 
 
 def edges_in_order(edges: DataFrame) -> DataFrame:
-    """Edges of each source by length, a gate before a jump of equal length."""
-    per_source = Window.partitionBy("src").orderBy("distance", "kind", "dst")
-    return edges.withColumn("position", F.row_number().over(per_source))
+    """Edges of each source by length, a gate before a jump of equal length.
+
+    One range-partitioned sort; since length is part of the key, even a hub's edges spread over tasks.
+    """
+    return edges.orderBy("src", "distance", "kind", "dst")
 
 
 def adjacency(pairs: DataFrame, systems: DataFrame | None = None) -> DataFrame:
