@@ -5,6 +5,9 @@ An edge row is ``src, dst, kind ('gate' | 'spatial'), distance`` with the destin
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,42 +82,64 @@ def gate_edges(pairs: DataFrame, systems: DataFrame) -> DataFrame:
     )
 
 
-def spatial_edges(
-    systems: DataFrame,
-    *,
-    max_jump: float | None = None,
-    max_temperature: float | None = None,
-    neighbours: int = DEFAULT_NEIGHBOURS,
-) -> DataFrame:
-    """Jump edges between positioned systems, with the rank of each target for its source.
+@dataclass(frozen=True)
+class NeighbourGraph:
+    """Which jumps one class of requests may use.
 
     ``max_jump`` limits the length (inclusive), ``max_temperature`` the target's ambient temperature
     (an unknown one passes) before anything is ranked, and ``neighbours`` the targets kept per
-    source, also within a radius. 0 means no limit; without a radius on a large map it means the
-    ceiling. Positions stay double throughout.
+    source, also within a radius. 0 neighbours means no limit; without a radius on a large map it
+    means the ceiling.
     """
+
+    graph_id: int = 1
+    max_jump: float | None = None
+    max_temperature: float | None = None
+    neighbours: int = DEFAULT_NEIGHBOURS
+
+
+def neighbour_edges(systems: DataFrame, graphs: list[NeighbourGraph]) -> DataFrame:
+    """Jump edges of several graphs in one pass: ``graph_id, src, dst, kind, distance, rank``.
+
+    ``rank`` is the target's place among its source's neighbours, null in graphs without a limit.
+    Positions stay double throughout.
+    """
+    if any(g.neighbours == 0 and g.max_jump is None for g in graphs):
+        total = systems.count()
+        every = NEIGHBOUR_CEILING if total > LARGE_MAP_SYSTEMS else max(total, 1)
+        graphs = [
+            replace(g, neighbours=every) if g.neighbours == 0 and g.max_jump is None else g for g in graphs
+        ]
     placed = systems.where(F.col("x").isNotNull())
-    targets = placed
-    if max_temperature is not None:
-        targets = placed.where(
-            F.coalesce(F.col("min_external_temp") <= F.lit(float(max_temperature)), F.lit(True))
+    targets = placed.select("id", "x", "y", "z", "min_external_temp")
+    fits = (F.col("query_id.src") != F.col("id")) & F.coalesce(
+        F.col("min_external_temp") <= F.col("limit"), F.lit(True)
+    )
+    parts = []
+    ranked = [g for g in graphs if g.neighbours > 0]
+    if ranked:
+        most = max(g.neighbours for g in ranked)
+        cold = all(g.max_temperature is None for g in ranked)
+        parts.append(
+            nearest(
+                _graph_queries(placed, ranked), targets, keep=fits, max_k=most, per_place=most + 1 if cold else None
+            )
         )
-    targets = targets.select("id", "x", "y", "z")
-    queries = placed.select(F.col("id").alias("query_id"), "x", "y", "z")
-    if neighbours == 0 and max_jump is not None:
-        pairs = radius_join(queries, targets, max_jump).where(F.col("query_id") != F.col("id"))
-        ranked = pairs.withColumn("rank", F.lit(None).cast("int"))
-    else:
-        wanted = neighbours
-        if neighbours == 0:
-            total = systems.count()
-            wanted = NEIGHBOUR_CEILING if total > LARGE_MAP_SYSTEMS else max(total, 1)
-        queries = queries.withColumn("k", F.lit(wanted)).withColumn("radius", F.lit(max_jump).cast("double"))
-        ranked = nearest(
-            queries, targets, keep=F.col("query_id") != F.col("id"), max_k=wanted, per_place=wanted + 1
+    unlimited = [g for g in graphs if g.neighbours == 0]
+    if unlimited:
+        queries = _graph_queries(placed, unlimited)
+        pairs = radius_join(queries, targets, max(g.max_jump for g in unlimited))
+        limits = queries.select("query_id", "radius", "limit")
+        temperatures = targets.select("id", "min_external_temp")
+        parts.append(
+            pairs.join(limits, "query_id")
+            .join(temperatures, "id")
+            .where(fits & (F.col("distance") <= F.col("radius")))
+            .select("query_id", "id", "distance", F.lit(None).cast("int").alias("rank"))
         )
-    return ranked.select(
-        F.col("query_id").alias("src"),
+    return reduce(DataFrame.unionByName, parts).select(
+        F.col("query_id.graph_id").alias("graph_id"),
+        F.col("query_id.src").alias("src"),
         F.col("id").alias("dst"),
         F.lit("spatial").alias("kind"),
         "distance",
@@ -122,6 +147,37 @@ def spatial_edges(
     )
 
 
+def _graph_queries(placed: DataFrame, graphs: list[NeighbourGraph]) -> DataFrame:
+    """Every positioned system once per graph, with that graph's limits."""
+    limits = F.array(
+        *[
+            F.struct(
+                F.lit(g.graph_id).cast("int").alias("graph_id"),
+                F.lit(g.neighbours).cast("int").alias("k"),
+                F.lit(g.max_jump).cast("double").alias("radius"),
+                F.lit(g.max_temperature).cast("double").alias("limit"),
+            )
+            for g in graphs
+        ]
+    )
+    return placed.select("id", "x", "y", "z", F.explode(limits).alias("g")).select(
+        F.struct(F.col("g.graph_id").alias("graph_id"), F.col("id").alias("src")).alias("query_id"),
+        "x", "y", "z", "g.k", "g.radius", "g.limit",
+    )
+
+
+def spatial_edges(
+    systems: DataFrame,
+    *,
+    max_jump: float | None = None,
+    max_temperature: float | None = None,
+    neighbours: int = DEFAULT_NEIGHBOURS,
+) -> DataFrame:
+    """Jump edges of a single graph; see ``NeighbourGraph`` for the limits."""
+    graph = NeighbourGraph(1, max_jump, max_temperature, neighbours)
+    return neighbour_edges(systems, [graph]).drop("graph_id")
+
+
 def merge_edges(gates: DataFrame, spatial: DataFrame) -> DataFrame:
     """Hybrid edges: both kinds to one target are kept, duplicates of a kind keep the shortest."""
     both = gates.select("src", "dst", "kind", "distance").unionByName(
