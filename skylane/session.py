@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # A side is hinted for broadcast only after its row count has been taken and lies below this bound.
 BROADCAST_ROWS = 100_000
+# Sub-keys over which a lookup too large to broadcast spreads the rows of one key.
+LOOKUP_COPIES = 16
 
 _local_area: dict[str, str] = {}
 
@@ -65,3 +67,16 @@ def written(df: DataFrame, label: str, partitions: int | None = None) -> DataFra
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when the counted ``rows`` prove the side small; otherwise leave it alone."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def spread_lookup(many: DataFrame, few: DataFrame, key: str, by: str, rows: int, how: str = "inner") -> DataFrame:
+    """Join ``few`` (one row per ``key``, ``rows`` of them) to ``many`` without a hot key.
+
+    Broadcast when counted small. Otherwise ``few`` is copied under ``LOOKUP_COPIES`` sub-keys and
+    ``many`` picks one by the hash of ``by``, so the rows of one key never meet in a single task.
+    """
+    if rows <= BROADCAST_ROWS:
+        return many.join(F.broadcast(few), key, how)
+    copies = few.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_COPIES - 1))))
+    spread = many.withColumn("copy", F.pmod(F.xxhash64(by), F.lit(LOOKUP_COPIES)).cast("int"))
+    return spread.join(copies, [key, "copy"], how).drop("copy")
