@@ -95,22 +95,35 @@ def route_endpoints(steps: DataFrame) -> DataFrame:
     )
 
 
+def _taken_edges(hops: DataFrame, edges: DataFrame, src: str, dst: str, how: str) -> DataFrame:
+    """Edges of a hop's own graph between its two systems as ``edge_kind, edge_length``."""
+    usable = edges.select(
+        F.col("src").alias("edge_src"),
+        F.col("dst").alias("edge_dst"),
+        F.col("graph_id").alias("edge_graph"),
+        F.col("kind").alias("edge_kind"),
+        F.col("distance").alias("edge_length"),
+    )
+    in_graph = ((F.col("edge_kind") == "gate") & (F.col("mode") != "spatial")) | (
+        (F.col("edge_graph") == F.col("graph_id")) & (F.col("mode") != "gate")
+    )
+    same = (F.col(src) == F.col("edge_src")) & (F.col(dst) == F.col("edge_dst"))
+    return hops.join(usable, same & in_graph, how)
+
+
 def hop_kinds(hops: DataFrame, edges: DataFrame) -> DataFrame:
     """Gates and jumps per route, by the shortest edge between consecutive steps.
 
-    ``hops`` carry ``graph_id`` and ``mode`` (gate, spatial or hybrid) of the search; a gate beats a
+    ``hops`` carry ``graph_id`` and ``mode`` (gate, spatial or hybrid) of their search; a gate beats a
     jump of equal length, and a pair without an edge counts as a gate.
     """
     between = hops.where("prev_system_id is not null").select(
         "request_id", "step", "mode", "graph_id",
         F.col("prev_system_id").alias("src"), F.col("system_id").alias("dst"),
     )
-    usable = edges.select("src", "dst", F.col("graph_id").alias("edge_graph"), "kind", "distance")
-    joined = between.join(usable, ["src", "dst"], "left").where(
-        F.col("edge_graph").isNull() | F.col("edge_graph").isin(0) | (F.col("edge_graph") == F.col("graph_id"))
-    )
+    joined = _taken_edges(between, edges, "src", "dst", "left")
     chosen = joined.groupBy("request_id", "step", "mode").agg(
-        F.min(F.struct("distance", "kind"))["kind"].alias("kind")
+        F.min(F.struct("edge_length", "edge_kind"))["edge_kind"].alias("kind")
     )
     is_jump = (F.col("mode") == "spatial") | ((F.col("mode") == "hybrid") & (F.col("kind") == "spatial"))
     return chosen.groupBy("request_id").agg(
@@ -123,19 +136,10 @@ def unsafe_requests(hops: DataFrame, edges: DataFrame) -> DataFrame:
     """Requests whose found route has a hop that would reach the critical temperature.
 
     Looks at the shortest edge between the steps, as a ship would take it. ``hops`` carry
-    ``avoid_critical_state`` and the ship columns of the request.
+    ``graph_id, mode, avoid_critical_state`` and the ship columns of the request.
     """
     between = hops.where("prev_system_id is not null and avoid_critical_state and ship_name is not null")
-    usable = edges.select(
-        F.col("src").alias("prev_system_id"),
-        F.col("dst").alias("system_id"),
-        F.col("graph_id").alias("edge_graph"),
-        F.col("kind").alias("edge_kind"),
-        F.col("distance").alias("edge_length"),
-    )
-    joined = between.join(usable, ["prev_system_id", "system_id"]).where(
-        (F.col("edge_graph") == 0) | (F.col("edge_graph") == F.col("graph_id"))
-    )
+    joined = _taken_edges(between, edges, "prev_system_id", "system_id", "inner")
     taken = joined.groupBy("request_id", "step").agg(
         F.min(F.struct("edge_length", "edge_kind")).alias("edge"),
         *[F.any_value(c).alias(c) for c in (
