@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Names of developer systems, hidden unless asked for (case-sensitive).
 DEVELOPER_SYSTEM = r"^(AD|V-)[0-9]+$"
@@ -120,7 +121,11 @@ def jaro_winkler_score(a: str, b: str) -> float:
     return base + PREFIX_WEIGHT * prefix * (1.0 - base)
 
 
-@F.pandas_udf("double")
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Arrow-batched similarity; Spark has edit distance but not this measure."""
+@F.pandas_udf(DoubleType())
+def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_score(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+# Arrow-batched similarity; Spark has edit distance but not this measure. Marked nondeterministic so that
+# a filter on the result is not pushed into a second evaluation.
+jaro_winkler = _jaro_winkler.asNondeterministic()

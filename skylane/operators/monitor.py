@@ -151,14 +151,14 @@ def window_sums(minutes: DataFrame, window_minutes: int, *labels: str) -> DataFr
     )
 
 
-def evaluation_times(minutes: DataFrame) -> DataFrame:
-    """Every minute from the first to the last of the log, whether or not it saw a request."""
-    span = minutes.agg(F.min("minute").alias("first"), F.max("minute").alias("last")).where("first is not null")
-    return span.select(
-        F.explode(
-            F.sequence(F.col("first") + F.expr("interval 1 minute"), F.col("last") + F.expr("interval 1 minute"),
-                       F.expr("interval 1 minute"))
-        ).alias("at")
+def evaluation_times(minutes: DataFrame, behind: int = 1) -> DataFrame:
+    """Every minute of the log with ``behind`` minutes before it, whether or not it saw a request."""
+    first = F.col("first") + F.expr(f"interval {behind} minutes")
+    last = F.col("last") + F.expr("interval 1 minute")
+    return (
+        minutes.agg(F.min("minute").alias("first"), F.max("minute").alias("last"))
+        .where(first <= last)
+        .select(F.explode(F.sequence(first, last, F.expr("interval 1 minute"))).alias("at"))
     )
 
 
@@ -193,16 +193,7 @@ def evaluations(minutes: DataFrame, alert: Alert) -> DataFrame:
     sums = window_sums(minutes, alert.window_minutes, *labels)
     value, breached = _condition(alert)
     if alert.name in ("LowTraffic", "NoRoutesCalculated"):
-        times = evaluation_times(minutes)
-        start = minutes.agg(F.min("minute").alias("first"))
-        whole = F.col("at") >= F.col("first") + F.expr(f"interval {alert.window_minutes} minutes")
-        # One row holds the first minute; it joins on a constant key of its own.
-        times = (
-            times.withColumn("one", F.lit(1))
-            .join(start.withColumn("one", F.lit(1)), "one")
-            .where(whole)
-            .select("at")
-        )
+        times = evaluation_times(minutes, alert.window_minutes)
         sums = times.join(sums, "at", "left")
     path = F.col("path") if alert.per_path else F.lit("")
     return sums.select(

@@ -106,7 +106,7 @@ def similar_pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
     name_prefix = F.slice("name_chars", F.lit(1), (F.col("name_length") - F.col("overlap") + 1).cast("int"))
     shared = F.size(F.array_intersect("query_chars", "name_chars"))
     met = met.where(
-        (F.array_intersect(query_prefix, name_prefix)[0] == F.col("char")) & (shared >= F.col("overlap"))
+        (F.get(F.array_intersect(query_prefix, name_prefix), F.lit(0)) == F.col("char")) & (shared >= F.col("overlap"))
     )
     return met.select("query", "name", jaro_winkler(F.col("query"), F.col("name")).alias("similarity")).where(
         F.col("similarity") >= MIN_SIMILARITY

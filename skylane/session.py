@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side is hinted for broadcast only after its row count has been taken and lies below this bound.
@@ -64,6 +64,14 @@ def written(df: DataFrame, label: str, partitions: int | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_counting(df: DataFrame, label: str, condition: Column) -> tuple[DataFrame, int]:
+    """As ``written``, with the number of rows that meet ``condition``, observed during the write."""
+    seen = Observation(label)
+    observed = df.observe(seen, F.count_if(condition).alias("n"))
+    table = written(observed, label)
+    return table, seen.get["n"]
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when the counted ``rows`` prove the side small; otherwise leave it alone."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
