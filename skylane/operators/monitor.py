@@ -138,15 +138,15 @@ def minute_counts(log: DataFrame) -> DataFrame:
 
 
 def window_sums(minutes: DataFrame, window_minutes: int, *labels: str) -> DataFrame:
-    """Sums over the window that ends at ``at`` (exclusive), for every minute that a row can reach."""
+    """Sums over the window that ends at ``at_minute`` (exclusive), for every minute that a row can reach."""
     ends = F.sequence(
         F.col("minute") + F.expr("interval 1 minute"),
         F.col("minute") + F.expr(f"interval {window_minutes} minutes"),
         F.expr("interval 1 minute"),
     )
     return (
-        minutes.withColumn("at", F.explode(ends))
-        .groupBy("at", *labels)
+        minutes.withColumn("at_minute", F.explode(ends))
+        .groupBy("at_minute", *labels)
         .agg(*[F.sum(c).alias(c) for c in _SUMS])
     )
 
@@ -158,7 +158,7 @@ def evaluation_times(minutes: DataFrame, behind: int = 1) -> DataFrame:
     return (
         minutes.agg(F.min("minute").alias("first"), F.max("minute").alias("last"))
         .where(first <= last)
-        .select(F.explode(F.sequence(first, last, F.expr("interval 1 minute"))).alias("at"))
+        .select(F.explode(F.sequence(first, last, F.expr("interval 1 minute"))).alias("at_minute"))
     )
 
 
@@ -184,7 +184,7 @@ def _condition(alert: Alert) -> tuple[Column, Column]:
 
 
 def evaluations(minutes: DataFrame, alert: Alert) -> DataFrame:
-    """``alert, path, at, value, breached`` of one alert at every minute it can be judged.
+    """``alert, path, at_minute, value, breached`` of one alert at every minute it can be judged.
 
     A share needs at least one request in its window; the traffic alerts count silence too, from the
     first minute that has a whole window behind it.
@@ -194,12 +194,12 @@ def evaluations(minutes: DataFrame, alert: Alert) -> DataFrame:
     value, breached = _condition(alert)
     if alert.name in ("LowTraffic", "NoRoutesCalculated"):
         times = evaluation_times(minutes, alert.window_minutes)
-        sums = times.join(sums, "at", "left")
+        sums = times.join(sums, "at_minute", "left")
     path = F.col("path") if alert.per_path else F.lit("")
     return sums.select(
         F.lit(alert.name).alias("alert"),
         path.alias("path"),
-        "at",
+        "at_minute",
         value.cast("double").alias("value"),
         F.coalesce(breached, F.lit(False)).alias("breached"),
     ).where("value is not null")
@@ -224,12 +224,12 @@ def held(judged: DataFrame, alerts: tuple[Alert, ...] = ALERTS) -> DataFrame:
     for a in alerts:
         hold = F.when(F.col("alert") == a.name, a.hold_minutes).otherwise(hold)
     key = ["alert", "path"]
-    number = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / 60_000_000)
+    number = F.floor(F.unix_micros(F.col("at_minute").cast("timestamp")) / 60_000_000)
     runs = (
         judged.where("breached")
         .withColumn("minute_no", number)
         .withColumn("run", F.col("minute_no") - F.row_number().over(Window.partitionBy(*key).orderBy("minute_no")))
-        .withColumn("since", F.min("at").over(Window.partitionBy(*key, "run")))
+        .withColumn("since", F.min("at_minute").over(Window.partitionBy(*key, "run")))
         .withColumn("first_no", F.min("minute_no").over(Window.partitionBy(*key, "run")))
     )
-    return runs.where(F.col("minute_no") - F.col("first_no") >= hold).select(*key, "at", "value", "since")
+    return runs.where(F.col("minute_no") - F.col("first_no") >= hold).select(*key, "at_minute", "value", "since")

@@ -101,7 +101,8 @@ FROM {events}"""
 # Steps of a route corpus: every order is a route through one system per line item.
 CORPUS_STEPS = """
 SELECT l_orderkey AS route_id,
-       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INT) AS pos,
+       CAST(row_number() OVER (PARTITION BY l_orderkey
+              ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS pos,
        30000000 + (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM {customer}) AS system_id
 FROM {lineitem}"""
 

@@ -35,7 +35,7 @@ def windowed_counts(log: DataFrame, length: str = "1 minute", slide: str | None
 
 
 def windowed_evaluations(log: DataFrame, alert: Alert) -> DataFrame:
-    """``alert, path, at, value, breached`` of one alert, from windows that slide by a minute.
+    """``alert, path, at_minute, value, breached`` of one alert, from windows that slide by a minute.
 
     A window without any row never forms in a stream, so silence is judged by the batch job only.
     """
@@ -47,13 +47,13 @@ def windowed_evaluations(log: DataFrame, alert: Alert) -> DataFrame:
     return sums.select(
         F.lit(alert.name).alias("alert"),
         path.alias("path"),
-        F.col("window.end").alias("at"),
+        F.col("window.end").alias("at_minute"),
         value.cast("double").alias("value"),
         F.coalesce(breached, F.lit(False)).alias("breached"),
     ).where("value is not null")
 
 
-_HELD = "alert string, path string, at timestamp, value double, since timestamp"
+_HELD = "alert string, path string, at_minute timestamp, value double, since timestamp"
 _STATE = "since_us long, last_us long"
 _MINUTE_US = 60_000_000
 
@@ -68,9 +68,9 @@ def held_alerts(judged: DataFrame, hold_minutes: int) -> DataFrame:
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, last = state.get if state.exists else (-1, -1)
-        rows = pd.concat(list(batches)).sort_values("at")
+        rows = pd.concat(list(batches)).sort_values("at_minute")
         fired = []
-        for at, value, breached in zip(rows["at"], rows["value"], rows["breached"]):
+        for at, value, breached in zip(rows["at_minute"], rows["value"], rows["breached"]):
             now = int(at.value // 1_000)
             if not breached:
                 since = -1
@@ -80,7 +80,7 @@ def held_alerts(judged: DataFrame, hold_minutes: int) -> DataFrame:
             if since >= 0 and now - since >= hold_us:
                 fired.append((key[0], key[1], at, value, pd.Timestamp(since, unit="us")))
         state.update((since, last))
-        yield pd.DataFrame(fired, columns=["alert", "path", "at", "value", "since"])
+        yield pd.DataFrame(fired, columns=["alert", "path", "at_minute", "value", "since"])
 
     return judged.groupBy("alert", "path").applyInPandasWithState(
         follow, _HELD, _STATE, "append", GroupStateTimeout.NoTimeout
