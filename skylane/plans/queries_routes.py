@@ -296,7 +296,7 @@ def routes_fewest_hops(m: SampleMap) -> DataFrame:
 def routes_shortest_distance(m: SampleMap) -> DataFrame:
     """Without the straight-line bound."""
     resolved, table, systems = _route_profiles(m, algorithm="dijkstra", optimization="distance")
-    asked = resolved.where("status = 'open'").withColumn("straight", F.lit(False))
+    asked = resolved.where("status = 'open'").withColumn("ahead_rate", F.lit(0.0))
     avoided = asked.select("request_id", F.explode("avoid_ids").alias("node"))
     arrivals, _ = search.search(asked, table, systems, avoided)
     return arrivals.select("request_id", "found", r6("cost").alias("cost"))

@@ -58,7 +58,11 @@ def cost_columns() -> dict[str, Column]:
         "gate_rate": F.when(mode != "spatial", F.when(objective == "distance", 1.0).otherwise(0.0)),
         "jump_rate": F.when(jumps, rate),
         "priced": objective == "fuel",
-        "straight": objective == "distance",
+        # With gates allowed a hop or a unit of fuel may cover any distance, so nothing bounds them.
+        "ahead_rate": F.when(objective == "distance", 1.0)
+        .when((mode == "spatial") & (objective == "fuel"), F.coalesce(rate, F.lit(0.0)))
+        .when((mode == "spatial") & (F.col("max_length") > 0), 1.0 / F.col("max_length"))
+        .otherwise(0.0),
         "heat_per_ly": F.when(
             F.col("avoid_critical_state"),
             heat_per_light_year(
