@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylane.functions.geometry import METRES_PER_LIGHT_YEAR, METRES_PER_LIGHT_YEAR_FIXTURE
+from skylane.functions.geometry import METRES_PER_LIGHT_YEAR, METRES_PER_LIGHT_YEAR_FIXTURE, distance
 from skylane.functions.ship_physics import HEAT_NOMINAL
 from skylane.functions.text import is_developer_system
 from skylane.operators.enrich import fold_fuel, hop_heat
@@ -161,44 +159,67 @@ def connected(anchors: DataFrame, pairs: DataFrame) -> DataFrame:
 
 # --- visiting tours -----------------------------------------------------------------------------------
 
-_TOUR = "request_id long, step int, system_id long, distance double"
-
-
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Visit the nearest unvisited stop next; equal distances go to the earlier-ranked stop."""
-    rows = rows.sort_values("rank", kind="stable")
-    stops = rows[["x", "y", "z"]].to_numpy(dtype=float)
-    ids = rows["system_id"].to_numpy()
-    here = rows[["ox", "oy", "oz"]].to_numpy(dtype=float)[0]
-    left = np.arange(len(ids))
-    order, lengths = [], []
-    while len(left):
-        gap = stops[left] - here
-        away = np.sqrt(gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2])
-        pick = int(np.argmin(away))
-        order.append(ids[left[pick]])
-        lengths.append(away[pick])
-        here = stops[left[pick]]
-        left = np.delete(left, pick)
-    return pd.DataFrame(
-        {
-            "request_id": rows["request_id"].iloc[0],
-            "step": np.arange(1, len(order) + 1, dtype="int32"),
-            "system_id": order,
-            "distance": lengths,
-        }
+_STOP = "struct<rank:int,system_id:bigint,x:double,y:double,z:double>"
+_VISIT = "struct<step:int,system_id:bigint,distance:double>"
+
+
+def _visit_nearest(acc: Column) -> Column:
+    """Go to the nearest stop left; equal distances go to the better-ranked one."""
+    reach = F.transform(
+        acc["left"],
+        lambda s: F.struct(
+            distance(acc["x"], acc["y"], acc["z"], s["x"], s["y"], s["z"]).alias("distance"), s.alias("stop")
+        ),
     )
+    # A one-element array binds the choice, so that it is worked out once.
+    gone = F.transform(
+        F.array(F.array_min(reach)),
+        lambda c: F.struct(
+            c["stop"]["x"].alias("x"),
+            c["stop"]["y"].alias("y"),
+            c["stop"]["z"].alias("z"),
+            F.filter(acc["left"], lambda s: s["rank"] != c["stop"]["rank"]).alias("left"),
+            F.array_append(
+                acc["visits"],
+                F.struct(
+                    (F.size(acc["visits"]) + 1).alias("step"),
+                    c["stop"]["system_id"].alias("system_id"),
+                    c["distance"].alias("distance"),
+                ),
+            ).alias("visits"),
+        ),
+    )
+    return F.element_at(gone, 1)
 
 
 def tours(found: DataFrame, scouts: DataFrame) -> DataFrame:
     """Order each request's systems as a greedy tour from its origin: steps from 1 with hop distances.
 
-    Inherently one stop after another, so it runs inside a task per request; a request has at most
-    as many stops as the scout limit allows.
+    Inherently one stop after another, so each request is folded by itself, inside the JVM; a request has
+    at most as many stops as the scout limit allows. Requests with the same origin and stops share a tour.
     """
     origins = scouts.select("request_id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
-    stops = found.select("request_id", "rank", "system_id", "x", "y", "z").join(origins, "request_id")
-    return stops.groupBy("request_id").applyInPandas(_greedy, _TOUR)
+    stop = F.struct("rank", "system_id", "x", "y", "z")
+    stops = found.groupBy("request_id").agg(F.array_sort(F.collect_list(stop)).cast(f"array<{_STOP}>").alias("stops"))
+    asked = stops.join(origins, "request_id").withColumn(
+        "question", F.sha2(F.to_json(F.struct("ox", "oy", "oz", "stops")), 256)
+    )
+    start = F.struct(
+        F.col("ox").alias("x"),
+        F.col("oy").alias("y"),
+        F.col("oz").alias("z"),
+        F.col("stops").alias("left"),
+        F.array().cast(f"array<{_VISIT}>").alias("visits"),
+    )
+    visits = F.aggregate(
+        F.sequence(F.lit(1), F.size("stops")), start, lambda acc, _: _visit_nearest(acc), lambda acc: acc["visits"]
+    )
+    # Only the first request of each question is folded; the fold sits behind a shuffle of small rows.
+    distinct = asked.groupBy("question").agg(*[F.any_value(c).alias(c) for c in ("ox", "oy", "oz", "stops")])
+    folded = distinct.select("question", visits.alias("visits"))
+    return asked.select("request_id", "question").join(folded, "question").select(
+        "request_id", F.inline("visits")
+    )
 
 
 def tour_with_ship(tour: DataFrame, scouts: DataFrame, systems: DataFrame) -> DataFrame:

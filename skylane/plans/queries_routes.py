@@ -198,7 +198,7 @@ _ALLOWED = """
 _ROUTE_PARTS = ("route_requests", "ships", "systems", "gates", "nearest8")
 
 
-def _route_profiles(m: SampleMap, **fixed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _route_profiles(m: SampleMap, **fixed: str | bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Resolved requests with given columns fixed, all edges for 8 neighbours, and the systems."""
     systems = written(m.systems, "systems")
     asked = m.route_requests.withColumns({k: F.lit(v) for k, v in fixed.items()})
@@ -277,7 +277,7 @@ def _search_sql(algorithm: str, mode: str, objective: str, cost: str = "round(co
 _ANY_MODE = "CASE WHEN avoid_gates THEN 'spatial' ELSE 'hybrid' END"
 
 
-def _searched(m: SampleMap, **fixed: str) -> DataFrame:
+def _searched(m: SampleMap, **fixed: str | bool) -> DataFrame:
     resolved, table, systems = _route_profiles(m, **fixed)
     asked = resolved.where("status = 'open'")
     avoided = asked.select("request_id", F.explode("avoid_ids").alias("node"))
@@ -314,6 +314,20 @@ def routes_least_fuel(m: SampleMap) -> DataFrame:
     return found.select("request_id", "found", r6("cost").alias("cost"))
 
 
+@query(_search_sql("'bfs'", "'gate'", "'hops'", "CAST(cost AS INTEGER) AS hops"), _ROUTE_PARTS)
+def routes_through_gates(m: SampleMap) -> DataFrame:
+    """Fewest gate hops for every request."""
+    found = _searched(m, algorithm="bfs", avoid_gates=False)
+    return found.select("request_id", "found", "hops")
+
+
+@query(_search_sql("'a-star'", "'hybrid'", "'distance'"), _ROUTE_PARTS)
+def routes_by_gate_or_jump(m: SampleMap) -> DataFrame:
+    """Shortest distance for every request, gates always allowed."""
+    found = _searched(m, algorithm="a-star", optimization="distance", avoid_gates=False)
+    return found.select("request_id", "found", r6("cost").alias("cost"))
+
+
 _PLAN_SQL = _search_sql("algorithm", "mode", "objective").replace(
     _FOUND.replace("{cost}", "round(cost, 6) AS cost"), ""
 ) + """
