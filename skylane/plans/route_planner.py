@@ -303,7 +303,7 @@ def _summary(asked: DataFrame, found: DataFrame, systems: DataFrame, suggest: bo
         .otherwise("not_found")
     )
     rows = asked.join(outcome, "request_id", "left").withColumn("status", status)
-    rows = rows.withColumn("advice", F.when(F.col("status") == "not_found", failure_advice()))
+    rows = rows.withColumn("advice", F.when(F.col("status") == "not_found", failure_advice("ship_name")))
     if not suggest:
         return rows.drop("found")
     missing = unresolved(rows.where("unknown_name is not null"), systems, "unknown_name")
