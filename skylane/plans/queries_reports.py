@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skylane.functions.text import listed_waypoint_type, waypoint_type
 from skylane.operators import corpus, monitor, tokens
 from skylane.operators.edges import known_jumps
-from skylane.plans import route_planner
+from skylane.plans import queries_routes, route_planner
 from skylane.plans.registry import query, r6
 from skylane.plans.sample_map import REQUEST_LOG, SCOUT_REQUESTS, SampleMap
 from skylane.session import work_area, written
@@ -114,14 +114,22 @@ def search_success_rates(m: SampleMap) -> DataFrame:
     return corpus.success_rates(results).withColumns({c: r6(c) for c in ("found_share", "worst_ratio", "within_twice")})
 
 
-@query()
+_PLAN_PARTS, _PLAN_ROWS = queries_routes._PLAN_SQL.rsplit("SELECT s.request_id, s.mode", 1)
+
+
+@query(
+    _PLAN_PARTS
+    + f"""SELECT mode, count(*) AS routes, round(avg(CASE WHEN status = 'ok' THEN 1e0 ELSE 0e0 END), 6) AS found_share
+          FROM (SELECT s.request_id, s.mode{_PLAN_ROWS}) WHERE status IN ('ok', 'not_found') GROUP BY mode""",
+    queries_routes._ROUTE_PARTS,
+)
 def planned_success_rates(m: SampleMap) -> DataFrame:
     """Found share of the planned requests per search mode."""
     plans = route_planner.plan_routes(m.route_requests, m.systems, m.pairs, m.ships, suggest=False)
     results = plans.summary.where("status in ('ok', 'not_found')").select(
         "mode", (F.col("status") == "ok").alias("found"), F.lit(1.0).alias("length"), F.lit(1.0).alias("expected_length")
     )
-    return corpus.success_rates(results).select("mode", "routes", "found_share")
+    return corpus.success_rates(results).select("mode", "routes", r6("found_share").alias("found_share"))
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------
