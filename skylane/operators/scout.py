@@ -13,7 +13,7 @@ from skylane.operators.names import avoid_by_folded_name, resolve
 from skylane.operators.ordered import with_neighbours
 from skylane.operators.requests import MAX_SCOUT_LIMIT, checked, effective_scout_temperature, scout_problem, scout_requests
 from skylane.operators.spatial import nearest, radius_join
-from skylane.session import written
+from skylane.session import spread_lookup, written
 
 DETAILS = ["name", "min_external_temp", "planet_count", "moon_count"]
 # Gate targets listed in one row of a system's details.
@@ -91,7 +91,9 @@ def scout_range(scouts: DataFrame, systems: DataFrame, pairs: DataFrame) -> Data
     found = nearest(queries, targets, max_k=MAX_SCOUT_LIMIT, keep=keep)
     details = systems.select("id", *DETAILS, F.col("x"), F.col("y"), F.col("z"))
     answered = found.join(details, "id").withColumnRenamed("query_id", "question")
-    return valid.select("request_id", "question").join(answered, "question").select(
+    # Many requests may ask the same; their answers are looked up without gathering them in one task.
+    asked = valid.select("request_id", "question")
+    return spread_lookup(asked, answered, "question", by="request_id", rows=found.count()).select(
         "request_id", "rank", F.col("id").alias("system_id"), "distance", *DETAILS, "x", "y", "z"
     )
 
