@@ -36,14 +36,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def work_area(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a folder of
-    its own; anywhere else a missing setting is an error, because a machine-local path would not
-    survive the loss of an executor.
+    A cluster names it in ``spark.checkpoint.dir``. Only a one-process master (``local`` or
+    ``local[n]``) may fall back to a folder of its own; anywhere else, ``local-cluster`` included, a
+    missing setting is an error, because a machine-local path would not survive the loss of an executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     if "path" not in _local_area:
         _local_area["path"] = tempfile.mkdtemp(prefix="skylane-")
