@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylane.llm import digest_index
+from skylane.llm import digest_index, entropy_secrets, matrix_bpe, orc_tokens, squares_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,3 +29,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @register(digest_index.SQL)
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return digest_index.fresh_index(spark).deduplicate(table(spark, folder, "documents"))
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register()
+def op9_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    path = orc_tokens.new_path(spark)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orc_tokens.write(table(spark, folder, "documents"), path, word_tokenizer(), 1, files)
+    return orc_tokens.facts(orc_tokens.read(spark, path))
+
+
+@register()
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return squares_packing.pack(table(spark, folder, "documents"), word_tokenizer(), 0, 2048)
+
+
+@register()
+def op6_entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return entropy_secrets.scan(table(spark, folder, "documents"))
+
+
+@register()
+def op10_matrix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return matrix_bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
