@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylane.llm import digest_index, entropy_secrets, matrix_bpe, orc_tokens, squares_packing
+from skylane.llm import decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, squares_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,3 +61,10 @@ def op10_matrix_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return matrix_bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+@register()
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learned = decision_lists.fit(decision_lists.training_rows(docs, table(spark, folder, "labels")))
+    return decision_lists.judge(docs, learned)
