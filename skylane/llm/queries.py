@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylane.llm import decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, squares_packing
+from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, squares_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     learned = decision_lists.fit(decision_lists.training_rows(docs, table(spark, folder, "labels")))
     return decision_lists.judge(docs, learned)
+
+
+@register(adaptive_join.SQL)
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return adaptive_join.similarity_classes(table(spark, folder, "documents"), adaptive_join.Similarity(words=3, percent=90))
