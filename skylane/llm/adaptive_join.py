@@ -9,11 +9,14 @@ made. What is left is compared with exact sets:
 
 1. Identical sets are one class, whatever their number, and go on as one.
 2. ``adaptive``: the filter above, from postings of the first elements only.
-3. Rounds of stars: in every posting list whose members are not yet connected, one pivot is verified
-   against the others. A group of near copies is connected after a few rounds with about as many
-   verifications as members, never by all its pairs.
-4. What is still apart in some list: full sets, elements ordered by rising frequency, prefixes of d + 1,
-   and every pair of unconnected members of a list is verified, so no link is lost.
+3. ``stars``: in every posting list whose members are not yet connected, one pivot is verified against
+   the others. A group of near copies is connected after a few rounds with about as many verifications
+   as members, never by all its pairs.
+4. ``rare_first``: for what is still apart in some list, whole sets with their elements ordered by rising
+   frequency, plain prefixes of d + 1, and stars again in those lists.
+5. ``rest``: every pair of members of a list that is still not connected, so no link is lost. Short lists
+   give pairs; long ones are cut into cells in which the members outside the list's largest component
+   meet a block of all members, so a cell is bounded and only links leave it.
 
 Links are verified by exact set sizes; sets of hashes stand for the sets of shingles. Connected components
 come from rounds of smallest labels with short cuts. All intermediate tables are written to the work area.
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -40,7 +44,12 @@ from skylane.llm import word_pieces
 from skylane.llm.common import counted, join_answers
 from skylane.session import small_side, written, written_counting
 
-PIVOT_ROUNDS = 3
+# Rounds of pivots over the lists of first elements, and over those in order of frequency.
+FIRST_ROUNDS = 1
+MORE_ROUNDS = 2
+# Lists longer than this are cut into cells of about two blocks of members.
+LONG_LIST = 64
+BLOCK = 256
 # Words whose hashes one worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 1_000_000
 _MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
@@ -157,6 +166,43 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def cell_links(cell: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
+    """A forest of the links between the asking rows of a cell and all its rows."""
+    cell = cell.sort_values("asks", ascending=False).reset_index(drop=True)
+    asking = int(cell["asks"].sum())
+    sizes = np.array([len(x) for x in cell["items"]])
+    if not asking or asking == len(cell):
+        return []
+    row = np.repeat(np.arange(len(cell)), sizes)
+    _, column, counts = np.unique(np.concatenate(cell["items"].to_numpy()), return_inverse=True, return_counts=True)
+    several = counts[column] > 1
+    row, column = row[several], np.unique(column[several], return_inverse=True)[1]
+    common = np.zeros((asking, len(cell) - asking), dtype=np.float32)
+    # Columns in portions, so that the matrix stays small for long texts.
+    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+        chosen = (column >= low) & (column < low + 4096)
+        held = np.zeros((len(cell), 4096), dtype=np.float32)
+        held[row[chosen], column[chosen] - low] = 1
+        common += held[:asking] @ held[asking:].T
+    common = common.astype(np.int64)
+    both = sizes[:asking, None] + sizes[None, asking:] - common
+    nodes, labels = cell["node"].tolist(), cell["label"].tolist()
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(common * 100 >= both * percent)):
+        x, y = root(labels[i]), root(labels[asking + j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            links.append((nodes[i], nodes[asking + j]))
+    return links
+
+
 class _Search:
     """One run over one table of documents."""
 
@@ -212,9 +258,9 @@ class _Search:
         apart = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
         return written_counting(own.join(apart.select("token"), "token"), "mixed", F.lit(True))
 
-    def stars(self, lists: DataFrame, sets: DataFrame, links: DataFrame | None, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Rounds of pivots; returns links, labels and the lists still mixed."""
-        for round_ in range(PIVOT_ROUNDS):
+    def stars(self, lists: DataFrame, sets: DataFrame, links: DataFrame | None, labels: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+        """Rounds of pivots; returns the lists still mixed when the last round began, links and labels."""
+        for round_ in range(rounds):
             lists, rows = self.mixed(lists, labels)
             if not rows:
                 break
@@ -227,15 +273,12 @@ class _Search:
             links = found if links is None else links.union(found)
             labels = components(links)
             lists = lists.select("token", "node", "n")
-        return links, labels, lists
+        return lists, links, labels
 
-    def rest(self, lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Links between members of lists that are still mixed, by whole sets in order of rising frequency."""
-        lists, rows = self.mixed(lists, labels)
-        if not rows:
-            return None
-        asked = written(lists.groupBy("node").agg(F.first("label").alias("label")), "asked")
-        items = sets.join(asked, "node").select("node", "n", "label", F.explode("items").alias("token"))
+    def rare_first(self, lists: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Lists (token, node, n) of the plain prefixes in order of rising frequency among the nodes of
+        ``lists``, and for each node the number of its elements that others have too."""
+        items = sets.join(lists.select("node").distinct(), "node").select("node", "n", F.explode("items").alias("token"))
         frequent = items.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         shared = items.join(frequent, "token")
         # Elements that no other has come first in the order, and fill the prefix by themselves.
@@ -243,24 +286,78 @@ class _Search:
         ranked = shared.withColumn("common", F.count(F.lit(1)).over(by_node)).withColumn(
             "place", F.row_number().over(by_node.orderBy("df", "token")) + F.col("n") - F.col("common")
         )
-        prefix = written(ranked.filter(F.col("place") <= self.similarity.missing(F.col("n")) + 1).select("token", "node", "n", "label", "common"), "rare-first")
-        apart = prefix.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        prefix = written(prefix.join(apart.select("token"), "token"), "rare-first-mixed")
-        other = prefix.select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "label", "common")])
+        prefix = written(ranked.filter(F.col("place") <= self.similarity.missing(F.col("n")) + 1).select("token", "node", "n", "common"), "rare-first")
+        return prefix.select("token", "node", "n"), written(prefix.groupBy("node").agg(F.first("common").alias("common")), "commons")
+
+    def rest(self, lists: DataFrame, commons: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """Links between members of lists that are still mixed."""
+        lists, rows = self.mixed(lists, labels)
+        if not rows:
+            return None
+        lists = lists.join(commons, "node")
+        by_label = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("held"))
+        most = F.max(F.struct("held", "label")).alias("most")
+        sizes = written(by_label.groupBy("token").agg(F.sum("held").alias("members"), most), "list-sizes")
+        sizes = sizes.select("token", "members", F.col("most.label").alias("main"), (F.col("members") - F.col("most.held")).alias("outside"))
+        lists = written(lists.join(sizes, "token"), "sized-lists")
+        short = lists.filter(F.col("members") <= LONG_LIST).select("token", "node", "n", "label", "common")
+        other = short.select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "label", "common")])
         # Neither can share more than its elements that somebody else has.
         possible = self.similarity.linked(F.least("common", "o_common"), F.col("n"), F.col("o_n"))
-        met = prefix.join(other, "token").filter((F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & possible)
-        return self.verified(met.select(F.col("node").alias("a"), F.col("o_node").alias("b")), sets)
+        met = short.join(other, "token").filter((F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & possible)
+        links = self.verified(met.select(F.col("node").alias("a"), F.col("o_node").alias("b")), sets)
+        return links.union(written(self.in_cells(lists.filter(F.col("members") > LONG_LIST), sets), "cell-links"))
+
+    def in_cells(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between the members of a long list outside its main component and all its members."""
+
+        def blocks(rows: Column) -> Column:
+            return F.ceil(rows / BLOCK).cast("int")
+
+        def every(count: Column) -> Column:
+            return F.sequence(F.lit(0), count - 1)
+
+        # A node that could not be linked even if it shared all its common elements is out.
+        able = lists.filter(self.similarity.linked(F.col("common"), F.col("n"), F.col("n"))).join(sets.select("node", "items"), "node")
+        place = F.xxhash64("node")
+        member = able.select(
+            "token",
+            F.pmod(place, blocks(F.col("members"))).alias("block"),
+            F.explode(every(blocks(F.col("outside")))).alias("chunk"),
+            F.lit(False).alias("asks"),
+            "node",
+            "label",
+            "items",
+        )
+        outside = able.filter("label <> main").select(
+            "token",
+            F.explode(every(blocks(F.col("members")))).alias("block"),
+            F.pmod(place, blocks(F.col("outside"))).alias("chunk"),
+            F.lit(True).alias("asks"),
+            "node",
+            "label",
+            "items",
+        )
+        percent = self.similarity.percent
+
+        def run(cell: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(cell_links(cell, percent), columns=["a", "b"])
+
+        return member.union(outside).groupBy("token", "block", "chunk").applyInPandas(run, "a binary, b binary")
 
     def run(self) -> DataFrame:
         classes = written(self.classes(), "classes")
         kept, lists = self.adaptive(classes)
         sets = self.whole_sets(kept)
         nobody = kept.select("node", F.col("node").alias("label")).limit(0)
-        links, labels, lists = self.stars(lists, sets, None, nobody)
-        more = self.rest(lists, sets, labels)
-        if more is not None:
-            labels = components(links.union(more))
+        lists, links, labels = self.stars(lists, sets, None, nobody, FIRST_ROUNDS)
+        lists, rows = self.mixed(lists, labels)
+        if rows:
+            lists, commons = self.rare_first(lists, sets)
+            lists, links, labels = self.stars(lists, sets, links, labels, MORE_ROUNDS)
+            more = self.rest(lists, commons, sets, labels)
+            if more is not None:
+                labels = components(links.union(more))
         # Per component the smallest id, and per class its component.
         facts = classes.select("node", "first_id", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         facts = written(facts, "labelled-classes")
