@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, squares_packing
+from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, squares_packing, weak_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @register(adaptive_join.SQL)
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return adaptive_join.similarity_classes(table(spark, folder, "documents"), adaptive_join.Similarity(words=3, percent=90))
+
+
+@register()
+def op1_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_pii.scan(table(spark, folder, "documents"))
