@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, squares_packing, weak_pii
+from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, path_templates, squares_packing, weak_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,3 +78,16 @@ def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op1_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
     return weak_pii.scan(table(spark, folder, "documents"))
+
+
+RULES = (
+    path_templates.Rule("block", "net", "/"),
+    path_templates.Rule("allow", "example.net", "/en/"),
+    path_templates.Rule("block", "example.com", "/de/"),
+    path_templates.Rule("allow", "org", "/fr/"),
+)
+
+
+@register()
+def op8_path_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return path_templates.judge(table(spark, folder, "pages"), RULES)
