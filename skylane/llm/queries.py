@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, path_templates, squares_packing, weak_pii
+from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, path_templates, quote_links, squares_packing, weak_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -91,3 +91,8 @@ RULES = (
 @register()
 def op8_path_templates(spark: SparkSession, folder: str) -> DataFrame:
     return path_templates.judge(table(spark, folder, "pages"), RULES)
+
+
+@register(quote_links.SQL)
+def op5_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    return quote_links.conversations(table(spark, folder, "conversations"))
