@@ -375,9 +375,13 @@ def similarity_classes(docs: DataFrame, similarity: Similarity) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """One document of each class, the one with the smallest id, with all its columns."""
-    found = similarity_classes(docs, similarity)
-    dropped = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_dropped_id")).distinct()
+    """One document of each class, the one with the smallest id, with all its columns.
+
+    Where rows of different texts share an id, all stay as long as one of them is the first of its class.
+    """
+    found = similarity_classes(docs, similarity).filter("doc_id IS NOT NULL")
+    stays = found.groupBy(F.col("doc_id").alias("_dropped_id")).agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("_stays"))
+    dropped = stays.filter(~F.col("_stays")).select("_dropped_id")
     return docs.join(dropped, docs["doc_id"] == dropped["_dropped_id"], "left_anti")
 
 

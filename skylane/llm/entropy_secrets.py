@@ -146,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret replaced by ``[SECRET]``; all rows and all columns stay."""
+    """``docs`` with every secret replaced by ``[SECRET]``; all rows and all columns stay, ``n_chars`` follows the text."""
     fields = docs.schema
     at = docs.columns.index("text")
 
@@ -156,7 +156,11 @@ def redact(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, fields)
+    out = docs.mapInArrow(run, fields)
+    if "n_chars" not in docs.columns:
+        return out
+    length = F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), F.col("n_chars")).otherwise(length))
 
 
 def without(text: str) -> str:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, path_templates, quote_links, squares_packing, weak_pii
+import corpus_pipeline
+from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, path_templates, quote_links, squares_packing, weak_pii, word_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,23 +32,17 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return digest_index.fresh_index(spark).deduplicate(table(spark, folder, "documents"))
 
 
-def word_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @register()
 def op9_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
     path = orc_tokens.new_path(spark)
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    orc_tokens.write(table(spark, folder, "documents"), path, word_tokenizer(), 1, files)
+    orc_tokens.write(table(spark, folder, "documents"), path, word_pieces.default_file(), 1, files)
     return orc_tokens.facts(orc_tokens.read(spark, path))
 
 
 @register()
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return squares_packing.pack(table(spark, folder, "documents"), word_tokenizer(), 0, 2048)
+    return squares_packing.pack(table(spark, folder, "documents"), word_pieces.default_file(), 0, 2048)
 
 
 @register()
@@ -96,3 +91,8 @@ def op8_path_templates(spark: SparkSession, folder: str) -> DataFrame:
 @register(quote_links.SQL)
 def op5_quote_links(spark: SparkSession, folder: str) -> DataFrame:
     return quote_links.conversations(table(spark, folder, "conversations"))
+
+
+@register()
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

@@ -78,6 +78,13 @@ def load(path: str) -> WordPieces:
     return _loaded[path]
 
 
+def default_file() -> str:
+    """The word-piece file among the installed public vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
