@@ -253,7 +253,7 @@ class _Search:
 
     def mixed(self, lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
         """The lists' rows with their labels, where a list has more than one."""
-        own = lists.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+        own = lists.select("token", "node", "n").join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
         own = written(own, "labelled-lists")
         apart = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
         return written_counting(own.join(apart.select("token"), "token"), "mixed", F.lit(True))
