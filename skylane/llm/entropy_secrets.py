@@ -60,14 +60,14 @@ def hot_windows(text: str, letters: frozenset[str], least: float, window: int =
         if c not in letters:
             counts, begin, held = {}, i + 1, 0.0
             continue
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        held += share[n + 1] - share[n]
         if i - begin >= window:
             gone = text[i - window]
             n = counts[gone]
             counts[gone] = n - 1
             held += share[n - 1] - share[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        held += share[n + 1] - share[n]
         if i - begin >= window - 1 and held <= most:
             at = i - window + 1
             if spans and at <= spans[-1][1]:
