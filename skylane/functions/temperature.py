@@ -25,8 +25,8 @@ LOGISTIC_MAX_K = 99.9
 def temperature_problem(distance: Column, luminosity: Column) -> Column:
     """Why a model has no answer, or null when it has one."""
     return (
-        F.when(distance < 0, F.lit("distance cannot be negative"))
-        .when(luminosity <= 0, F.lit("luminosity must be positive"))
+        F.when(distance < 0, F.lit("distance_range"))
+        .when(luminosity <= 0, F.lit("luminosity_range"))
     )
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 # Names of developer systems, hidden unless asked for (case-sensitive).
 DEVELOPER_SYSTEM = r"^(AD|V-)[0-9]+$"
@@ -82,50 +82,54 @@ def listed_waypoint_type(is_first: Column, is_last: Column, given: Column) -> Co
     )
 
 
-def _jaro(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = [True] * len(b)
-    left: list[str] = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == ch:
-                free[j] = False
-                left.append(ch)
-                break
-    if not left:
-        return 0.0
-    right = [ch for j, ch in enumerate(b) if not free[j]]
-    swapped = sum(x != y for x, y in zip(left, right)) // 2
-    m = len(left)
-    return (m / len(a) + m / len(b) + (m - swapped) / m) / 3.0
-
-
 # Similarity above which a shared prefix counts, and the weight and length of that prefix.
 PREFIX_FLOOR, PREFIX_WEIGHT, PREFIX_LENGTH = 0.7, 0.1, 4
+_MATCHES = "struct<used:array<int>,left:array<string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _matched(a: Column, b: Column) -> Column:
+    """Each character of ``a`` in turn takes the first free equal one of ``b`` within reach.
+
+    Returns the places taken in ``b`` and the characters of ``a`` that took one, both in the order of ``a``.
+    """
+    reach = F.greatest(F.floor(F.greatest(F.size(a), F.size(b)) / 2).cast("int") - 1, F.lit(0))
+
+    def take(acc: Column, x: Column) -> Column:
+        low, high = F.greatest(x["at"] - reach, F.lit(0)), F.least(x["at"] + reach, F.size(b) - 1)
+        places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        free = F.get(F.filter(places, lambda j: (F.get(b, j) == x["ch"]) & ~F.array_contains(acc["used"], j)), F.lit(0))
+        grown = F.struct(F.array_append(acc["used"], free).alias("used"), F.array_append(acc["left"], x["ch"]).alias("left"))
+        return F.when(free.isNull(), acc).otherwise(grown.cast(_MATCHES))
+
+    letters = F.transform(a, lambda ch, i: F.struct(i.alias("at"), ch.alias("ch")))
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("left")).cast(_MATCHES)
+    return F.aggregate(letters, start, take)
 
 
-def jaro_winkler_score(a: str, b: str) -> float:
-    """Jaro similarity, raised by shared leading characters once it is above the floor."""
-    base = _jaro(a, b)
-    if base <= PREFIX_FLOOR:
-        return base
-    prefix = 0
-    for x, y in zip(a[:PREFIX_LENGTH], b[:PREFIX_LENGTH]):
-        if x != y:
-            break
-        prefix += 1
-    return base + PREFIX_WEIGHT * prefix * (1.0 - base)
+def jaro_winkler(a: Column, b: Column) -> Column:
+    """Jaro similarity of two names, raised by shared leading characters once it is above the floor."""
 
+    def letters(name: Column) -> Column:
+        return F.array_remove(F.split(name, ""), "")
 
-@F.pandas_udf(DoubleType())
-def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_score(x, y) for x, y in zip(a, b)], dtype="float64")
+    def score(x: Column, y: Column, m: Column) -> Column:
+        right = F.transform(F.array_sort(m["used"]), lambda j: F.get(y, j))
+        unequal = F.zip_with(m["left"], right, lambda p, q: (p != q).cast("int"))
+        swapped = F.floor(F.aggregate(unequal, F.lit(0), lambda n, u: n + u) / 2)
+        n = F.size(m["used"])
+        return F.when(n > 0, (n / F.size(x) + n / F.size(y) + (n - swapped) / n) / 3.0).otherwise(0.0)
 
+    def raised(jaro: Column) -> Column:
+        prefix = F.lit(0)
+        for k in range(PREFIX_LENGTH, 0, -1):
+            shared = (F.left(a, F.lit(k)) == F.left(b, F.lit(k))) & (F.least(F.char_length(a), F.char_length(b)) >= k)
+            prefix = F.greatest(prefix, F.when(shared, k).otherwise(0))
+        return F.when(jaro > PREFIX_FLOOR, jaro + PREFIX_WEIGHT * prefix * (1.0 - jaro)).otherwise(jaro)
 
-# Arrow-batched similarity; Spark has edit distance but not this measure. Marked nondeterministic so that
-# a filter on the result is not pushed into a second evaluation.
-jaro_winkler = _jaro_winkler.asNondeterministic()
+    jaro = _let(letters(a), lambda x: _let(letters(b), lambda y: _let(_matched(x, y), lambda m: score(x, y, m))))
+    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(_let(jaro, raised))

@@ -5,24 +5,18 @@ An edge row is ``src, dst, kind ('gate' | 'spatial'), distance`` with the destin
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylane.functions.geometry import distance
 from skylane.operators.spatial import nearest, radius_join
+from skylane.session import spread_lookup, written_counting
 
-# Default neighbours per system, and the ceiling used when "unlimited" neighbours are
-# asked of a large map without a radius.
-DEFAULT_NEIGHBOURS = 250
-NEIGHBOUR_CEILING = 5_000
-LARGE_MAP_SYSTEMS = 5_000
 # Gate length when a position is missing.
 UNPLACED_GATE_LENGTH = 1.0
-# Targets per adjacency row; a hub with more is split over several rows.
-ADJACENCY_CHUNK = 10_000
 
 
 def known_jumps(jumps: DataFrame, systems: DataFrame) -> DataFrame:
@@ -43,16 +37,16 @@ def dangling_jumps(jumps: DataFrame, systems: DataFrame) -> DataFrame:
     return ends.join(systems.select("id"), F.col("unknown_id") == F.col("id"), "left_anti")
 
 
-def dangling_report(jumps: DataFrame, systems: DataFrame, sample: int = 5) -> DataFrame:
-    """Rows ``item, value``: the number of skipped jump rows and the smallest few unknown ids."""
+def dangling_report(jumps: DataFrame, systems: DataFrame) -> DataFrame:
+    """Rows ``item, id, jumps``: the number of skipped jump rows, and of those at each unknown id."""
     bad = dangling_jumps(jumps, systems)
     skipped = bad.agg(
         # A jump with two bad ends gives two rows here; count it at its first bad end only.
-        F.count_if((F.col("unknown_id") == F.col("src")) | F.col("src_known")).alias("value")
+        F.count_if((F.col("unknown_id") == F.col("src")) | F.col("src_known")).alias("jumps")
     )
-    few = bad.select(F.col("unknown_id").alias("value")).distinct().orderBy("value").limit(sample)
-    return skipped.select(F.lit("skipped").alias("item"), "value").unionByName(
-        few.select(F.lit("unknown_id").alias("item"), "value")
+    each = bad.groupBy(F.col("unknown_id").alias("id")).agg(F.count(F.lit(1)).alias("jumps"))
+    return skipped.select(F.lit("skipped").alias("item"), F.lit(None).cast("long").alias("id"), "jumps").unionByName(
+        each.select(F.lit("unknown_id").alias("item"), "id", "jumps")
     )
 
 
@@ -88,47 +82,51 @@ class NeighbourGraph:
 
     ``max_jump`` limits the length (inclusive), ``max_temperature`` the target's ambient temperature
     (an unknown one passes) before anything is ranked, and ``neighbours`` the targets kept per
-    source, also within a radius. 0 neighbours means no limit; without a radius on a large map it
-    means the ceiling.
+    source, also within a radius. Null or 0 neighbours means no limit, which needs a radius.
     """
 
     graph_id: int = 1
     max_jump: float | None = None
     max_temperature: float | None = None
-    neighbours: int = DEFAULT_NEIGHBOURS
+    neighbours: int | None = None
 
+    def __post_init__(self) -> None:
+        if not self.neighbours and self.max_jump is None:
+            raise ValueError("a jump graph needs a radius or a neighbour count")
 
-def neighbour_edges(systems: DataFrame, graphs: list[NeighbourGraph]) -> DataFrame:
-    """Jump edges of several graphs in one pass: ``graph_id, src, dst, kind, distance, rank``.
 
-    ``rank`` is the target's place among its source's neighbours, null in graphs without a limit.
-    Positions stay double throughout.
+GRAPH = "graph_id long, k int, radius double, limit double"
+
+
+def graph_table(spark: SparkSession, graphs: list[NeighbourGraph]) -> DataFrame:
+    return spark.createDataFrame([(g.graph_id, g.neighbours or None, g.max_jump, g.max_temperature) for g in graphs], GRAPH)
+
+
+def neighbour_edges(systems: DataFrame, graphs: DataFrame) -> DataFrame:
+    """Jump edges of a table of graphs in one pass: ``graph_id, src, dst, kind, distance, rank``.
+
+    ``graphs`` are ``graph_id, k, radius, limit`` with the meaning of ``NeighbourGraph``. ``rank`` is the
+    target's place among its source's neighbours, null in graphs without a limit. Positions stay double
+    throughout.
     """
-    if any(g.neighbours == 0 and g.max_jump is None for g in graphs):
-        total = systems.count()
-        every = NEIGHBOUR_CEILING if total > LARGE_MAP_SYSTEMS else max(total, 1)
-        graphs = [
-            replace(g, neighbours=every) if g.neighbours == 0 and g.max_jump is None else g for g in graphs
-        ]
+    graphs, count = written_counting(graphs, "graphs", F.lit(True))
+    shape = graphs.agg(
+        F.max("k").alias("most"),
+        F.bool_and(F.col("limit").isNull() | F.col("k").isNull()).alias("cold"),
+        F.max(F.when(F.col("k").isNull(), F.col("radius"))).alias("widest"),
+    ).first()
     placed = systems.where(F.col("x").isNotNull())
     targets = placed.select("id", "x", "y", "z", "min_external_temp")
     fits = (F.col("query_id.src") != F.col("id")) & F.coalesce(
         F.col("min_external_temp") <= F.col("limit"), F.lit(True)
     )
     parts = []
-    ranked = [g for g in graphs if g.neighbours > 0]
-    if ranked:
-        most = max(g.neighbours for g in ranked)
-        cold = all(g.max_temperature is None for g in ranked)
-        parts.append(
-            nearest(
-                _graph_queries(placed, ranked), targets, keep=fits, max_k=most, per_place=most + 1 if cold else None
-            )
-        )
-    unlimited = [g for g in graphs if g.neighbours == 0]
-    if unlimited:
-        queries = _graph_queries(placed, unlimited)
-        pairs = radius_join(queries, targets, max(g.max_jump for g in unlimited))
+    if shape["most"]:
+        queries = _graph_queries(placed, graphs.where("k is not null"), count)
+        parts.append(nearest(queries, targets, keep=fits, per_place=shape["most"] + 1 if shape["cold"] else None))
+    if shape["widest"] is not None:
+        queries = _graph_queries(placed, graphs.where("k is null"), count)
+        pairs = radius_join(queries, targets, shape["widest"])
         limits = queries.select("query_id", "radius", "limit")
         temperatures = targets.select("id", "min_external_temp")
         parts.append(
@@ -147,22 +145,13 @@ def neighbour_edges(systems: DataFrame, graphs: list[NeighbourGraph]) -> DataFra
     )
 
 
-def _graph_queries(placed: DataFrame, graphs: list[NeighbourGraph]) -> DataFrame:
+def _graph_queries(placed: DataFrame, graphs: DataFrame, count: int) -> DataFrame:
     """Every positioned system once per graph, with that graph's limits."""
-    limits = F.array(
-        *[
-            F.struct(
-                F.lit(g.graph_id).cast("int").alias("graph_id"),
-                F.lit(g.neighbours).cast("int").alias("k"),
-                F.lit(g.max_jump).cast("double").alias("radius"),
-                F.lit(g.max_temperature).cast("double").alias("limit"),
-            )
-            for g in graphs
-        ]
+    every = spread_lookup(
+        placed.select("id", "x", "y", "z", F.lit(1).alias("every")), graphs.withColumn("every", F.lit(1)), "every", "id", count
     )
-    return placed.select("id", "x", "y", "z", F.explode(limits).alias("g")).select(
-        F.struct(F.col("g.graph_id").alias("graph_id"), F.col("id").alias("src")).alias("query_id"),
-        "x", "y", "z", "g.k", "g.radius", "g.limit",
+    return every.select(
+        F.struct("graph_id", F.col("id").alias("src")).alias("query_id"), "x", "y", "z", "k", "radius", "limit"
     )
 
 
@@ -171,11 +160,11 @@ def spatial_edges(
     *,
     max_jump: float | None = None,
     max_temperature: float | None = None,
-    neighbours: int = DEFAULT_NEIGHBOURS,
+    neighbours: int | None = None,
 ) -> DataFrame:
     """Jump edges of a single graph; see ``NeighbourGraph`` for the limits."""
     graph = NeighbourGraph(1, max_jump, max_temperature, neighbours)
-    return neighbour_edges(systems, [graph]).drop("graph_id")
+    return neighbour_edges(systems, graph_table(systems.sparkSession, [graph])).drop("graph_id")
 
 
 def merge_edges(gates: DataFrame, spatial: DataFrame) -> DataFrame:
@@ -195,24 +184,11 @@ def edges_in_order(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(pairs: DataFrame, systems: DataFrame | None = None) -> DataFrame:
-    """Sorted distinct targets per source, in rows of bounded length.
+    """Distinct ``src, dst`` in order, one row per target, so a hub's targets spread over tasks.
 
-    ``part`` numbers the rows of a source; only a hub beyond the chunk size has more than one. With
-    ``systems`` every system gets a row, an empty list when it has no edge.
+    With ``systems`` a system without an edge has one row with a null ``dst``.
     """
-    degree = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    hubs = degree.where(F.col("degree") > ADJACENCY_CHUNK).select(
-        "src", F.ceil(F.col("degree") / ADJACENCY_CHUNK).alias("parts")
-    )
-    split = pairs.join(hubs, "src", "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
-    )
-    lists = split.groupBy("src", "part").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
-    if systems is None:
-        return lists
-    full = systems.select(F.col("id").alias("src")).join(lists, "src", "left")
-    return full.select(
-        "src",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets"),
-    )
+    rows = pairs.select("src", "dst").distinct()
+    if systems is not None:
+        rows = systems.select(F.col("id").alias("src")).distinct().join(rows, "src", "left")
+    return rows.orderBy("src", F.col("dst").asc_nulls_first())

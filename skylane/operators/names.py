@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylane.functions.text import folded, jaro_winkler
+from skylane.session import counted, spread_lookup
 
 # Lowest similarity worth suggesting; suggestions for routing and for hand-typed lists.
 MIN_SIMILARITY = 0.7
@@ -30,12 +31,14 @@ def resolve(names: DataFrame, systems: DataFrame, column: str = "name", numeric_
 
     With ``numeric_ids`` a name that reads as a number is taken as the id itself.
     """
-    index = name_index(systems).select(F.col("name").alias("index_name"), F.col("id").alias("index_id"))
-    found = names.join(index, F.col(column) == F.col("index_name"), "left")
+    index, rows = counted(name_index(systems).select(F.col("name").alias("asked_name"), F.col("id").alias("index_id")), "names")
+    # A popular system's requests look its id up without meeting in one task.
+    asked = names.withColumn("asked_name", F.col(column))
+    found = spread_lookup(asked, index, "asked_name", by="request_id", rows=rows, how="left")
     system_id = F.col("index_id")
     if numeric_ids:
         system_id = F.coalesce(F.col(column).try_cast("long"), system_id)
-    return found.withColumn("system_id", system_id).drop("index_name", "index_id")
+    return found.withColumn("system_id", system_id).drop("asked_name", "index_id")
 
 
 def unresolved(names: DataFrame, systems: DataFrame, column: str = "name") -> DataFrame:

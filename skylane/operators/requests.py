@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skylane.functions.ship_physics import DEFAULT_CALIBRATION, DEFAULT_FUEL_QUALITY, HEAT_CRITICAL
-from skylane.operators.edges import DEFAULT_NEIGHBOURS, NEIGHBOUR_CEILING
 
 ALGORITHMS = ("bfs", "dijkstra", "a-star")
 OBJECTIVES = ("distance", "fuel")
 DEFAULT_SCOUT_LIMIT = 10
-MAX_SCOUT_LIMIT = 100
 
 # Column -> type and default of a route request; a column the caller omits takes the default.
 ROUTE_REQUEST = {
@@ -32,7 +30,7 @@ ROUTE_REQUEST = {
     "fuel_quality": ("double", DEFAULT_FUEL_QUALITY),
     "heat_calibration": ("double", DEFAULT_CALIBRATION),
     "dynamic_mass": ("boolean", False),
-    "max_spatial_neighbors": ("int", DEFAULT_NEIGHBOURS),
+    "max_spatial_neighbors": ("int", None),
 }
 
 SCOUT_REQUEST = {
@@ -76,41 +74,37 @@ def _blank(text: Column) -> Column:
 
 
 def route_problem(reject_same_ends: bool = False) -> Column:
-    """First thing wrong with a route request, or null.
+    """The code of the first thing wrong with a route request, or null.
 
     ``reject_same_ends`` adds the stricter rule of the assistant-facing surface.
     """
     problem = (
-        F.when(_blank(F.col("from_name")), "from is required")
-        .when(_blank(F.col("to_name")), "to is required")
-        .when(~F.col("algorithm").isin(*ALGORITHMS), "unknown algorithm")
-        .when(~F.col("optimization").isin(*OBJECTIVES), "unknown optimization")
-        .when(F.col("max_jump") <= 0, "max_jump must be positive")
-        .when(F.col("max_temperature") <= 0, "max_temperature must be positive")
-        .when(F.col("ship").isNotNull() & _blank(F.col("ship")), "ship cannot be empty")
-        .when(~F.col("fuel_quality").between(1.0, 100.0), "fuel_quality must be between 1 and 100")
-        .when(F.col("cargo_mass") < 0, "cargo_mass must be zero or greater")
-        .when(F.col("fuel_load") < 0, "fuel_load must be zero or greater")
-        .when(
-            ~F.col("max_spatial_neighbors").between(0, NEIGHBOUR_CEILING),
-            "max_spatial_neighbors must be 0 or at most 5000",
-        )
+        F.when(_blank(F.col("from_name")), "from_missing")
+        .when(_blank(F.col("to_name")), "to_missing")
+        .when(~F.col("algorithm").isin(*ALGORITHMS), "algorithm_unknown")
+        .when(~F.col("optimization").isin(*OBJECTIVES), "optimization_unknown")
+        .when(F.col("max_jump") <= 0, "max_jump_range")
+        .when(F.col("max_temperature") <= 0, "max_temperature_range")
+        .when(F.col("ship").isNotNull() & _blank(F.col("ship")), "ship_blank")
+        .when(~F.col("fuel_quality").between(1.0, 100.0), "fuel_quality_range")
+        .when(F.col("cargo_mass") < 0, "cargo_mass_range")
+        .when(F.col("fuel_load") < 0, "fuel_load_range")
+        .when(F.col("max_spatial_neighbors") < 0, "max_spatial_neighbors_range")
     )
     if reject_same_ends:
-        problem = problem.when(F.col("from_name") == F.col("to_name"), "destination must differ from origin")
+        problem = problem.when(F.col("from_name") == F.col("to_name"), "same_ends")
     return problem
 
 
 def scout_problem(radius_required: bool = False) -> Column:
-    """First thing wrong with a scout request, or null."""
+    """The code of the first thing wrong with a scout request, or null."""
     problem = (
-        F.when(_blank(F.col("system")), "system is required")
-        .when(F.col("limit") < 1, "limit must be at least 1")
-        .when(F.col("limit") > MAX_SCOUT_LIMIT, "limit cannot exceed 100")
-        .when(F.col("radius") <= 0, "radius must be positive")
-        .when(F.col("max_temperature") <= 0, "max_temperature must be positive")
+        F.when(_blank(F.col("system")), "system_missing")
+        .when(F.col("limit") < 1, "limit_range")
+        .when(F.col("radius") <= 0, "radius_range")
+        .when(F.col("max_temperature") <= 0, "max_temperature_range")
     )
-    return problem.when(F.col("radius").isNull(), "radius is required") if radius_required else problem
+    return problem.when(F.col("radius").isNull(), "radius_missing") if radius_required else problem
 
 
 def checked(requests: DataFrame, problem: Column) -> DataFrame:
@@ -132,19 +126,20 @@ def endpoint_blocked(start_temperature: Column, goal_temperature: Column, ends_a
 
 
 def failure_advice(ship: str = "ship") -> Column:
-    """Which constraints of a failed request to relax; ``ship`` names the column of the ship in use."""
-    tips = F.concat_ws(
-        ", ",
-        F.when(F.col("max_jump").isNotNull(), "increase --max-jump"),
-        F.when(F.col("avoid_gates"), "allow gates (omit --avoid-gates)"),
-        F.when(F.col("max_temperature").isNotNull(), "raise --max-temp"),
-        F.when(F.col("avoid_critical_state") & F.col(ship).isNotNull(), "omit --avoid-critical-state").when(
-            F.col("avoid_critical_state"), "omit --avoid-critical-state or specify a ship with --ship"
-        ),
-    )
-    return F.when(tips != "", F.concat(F.lit("Try "), tips, F.lit("."))).otherwise(
-        "Try a different algorithm (for example, --algorithm dijkstra) or relax constraints."
+    """The request's own columns that could be relaxed, joined by commas; ``ship`` names the column of the ship in use.
+
+    ``ship`` itself is listed where a ship would let the heat of jumps be judged, ``algorithm`` where
+    nothing else limits the request.
+    """
+    relaxable = F.concat_ws(
+        ",",
+        F.when(F.col("max_jump").isNotNull(), "max_jump"),
+        F.when(F.col("avoid_gates"), "avoid_gates"),
+        F.when(F.col("max_temperature").isNotNull(), "max_temperature"),
+        F.when(F.col("avoid_critical_state"), "avoid_critical_state"),
+        F.when(F.col("avoid_critical_state") & F.col(ship).isNull(), "ship"),
     )
+    return F.when(relaxable != "", relaxable).otherwise("algorithm")
 
 
 def parameters_echo() -> Column:

@@ -11,13 +11,11 @@ from skylane.functions.text import is_developer_system
 from skylane.operators.enrich import fold_fuel, hop_heat
 from skylane.operators.names import avoid_by_folded_name, resolve
 from skylane.operators.ordered import with_neighbours
-from skylane.operators.requests import MAX_SCOUT_LIMIT, checked, effective_scout_temperature, scout_problem, scout_requests
+from skylane.operators.requests import checked, effective_scout_temperature, scout_problem, scout_requests
 from skylane.operators.spatial import nearest, radius_join
-from skylane.session import spread_lookup, written
+from skylane.session import counted, spread_lookup, written
 
 DETAILS = ["name", "min_external_temp", "planet_count", "moon_count"]
-# Gate targets listed in one row of a system's details.
-GATES_PER_ROW = 10_000
 
 
 def scout_gates(requests: DataFrame, pairs: DataFrame, systems: DataFrame) -> DataFrame:
@@ -51,8 +49,8 @@ def resolved_scouts(requests: DataFrame, systems: DataFrame, radius_required: bo
         "problem",
         F.coalesce(
             "problem",
-            F.when(F.col("system_id").isNull(), "unknown system"),
-            F.when(F.col("x").isNull(), "system has no position"),
+            F.when(F.col("system_id").isNull(), "system_unknown"),
+            F.when(F.col("x").isNull(), "system_unplaced"),
         ),
     )
 
@@ -88,7 +86,7 @@ def scout_range(scouts: DataFrame, systems: DataFrame, pairs: DataFrame) -> Data
         & ~F.array_contains("avoid_keys", F.col("name_key"))
         & (~F.col("avoid_gates") | F.col("gated").isNull())
     )
-    found = nearest(queries, targets, max_k=MAX_SCOUT_LIMIT, keep=keep)
+    found = nearest(queries, targets, keep=keep)
     details = systems.select("id", *DETAILS, F.col("x"), F.col("y"), F.col("z"))
     answered = found.join(details, "id").withColumnRenamed("query_id", "question")
     # Many requests may ask the same; their answers are looked up without gathering them in one task.
@@ -127,29 +125,10 @@ def within_of(
 
 
 def system_details(systems: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each system with the gates that leave it, in name order.
-
-    A system's gates come in rows of bounded length numbered by ``part``; only a hub has several.
-    """
-    targets = systems.select(F.col("id").alias("dst"), F.col("name").alias("gate_name"))
-    named = pairs.join(targets, "dst")
-    hubs = (
-        pairs.groupBy("src").agg(F.count(F.lit(1)).alias("gates"))
-        .where(F.col("gates") > GATES_PER_ROW)
-        .select("src", F.ceil(F.col("gates") / GATES_PER_ROW).alias("parts"))
-    )
-    listed = (
-        named.join(hubs, "src", "left")
-        .withColumn("part", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int"))
-        .groupBy("src", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("gate_name", F.col("dst").alias("gate_id")))).alias("gates"))
-    )
-    return (
-        systems.join(listed, systems["id"] == listed["src"], "left")
-        .drop("src")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("gates", F.coalesce("gates", F.array().cast("array<struct<gate_name:string,gate_id:bigint>>")))
-    )
+    """Each system with the gates that leave it: one row per gate, one with nulls where there is none."""
+    targets = systems.select(F.col("id").alias("gate_id"), F.col("name").alias("gate_name"))
+    named = pairs.select(F.col("src").alias("gate_src"), F.col("dst").alias("gate_id")).join(targets, "gate_id")
+    return systems.join(named, systems["id"] == named["gate_src"], "left").drop("gate_src")
 
 
 def connected(anchors: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -206,6 +185,7 @@ def tours(found: DataFrame, scouts: DataFrame) -> DataFrame:
     asked = stops.join(origins, "request_id").withColumn(
         "question", F.sha2(F.to_json(F.struct("ox", "oy", "oz", "stops")), 256)
     )
+    asked = written(asked, "tour-questions")
     start = F.struct(
         F.col("ox").alias("x"),
         F.col("oy").alias("y"),
@@ -218,10 +198,10 @@ def tours(found: DataFrame, scouts: DataFrame) -> DataFrame:
     )
     # Only the first request of each question is folded; the fold sits behind a shuffle of small rows.
     distinct = asked.groupBy("question").agg(*[F.any_value(c).alias(c) for c in ("ox", "oy", "oz", "stops")])
-    folded = distinct.select("question", visits.alias("visits"))
-    return asked.select("request_id", "question").join(folded, "question").select(
-        "request_id", F.inline("visits")
-    )
+    folded, rows = counted(distinct.select("question", visits.alias("visits")), "tours")
+    # Requests that ask the same look the one tour up without meeting in one task.
+    same = spread_lookup(asked.select("request_id", "question"), folded, "question", "request_id", rows)
+    return same.select("request_id", F.inline("visits"))
 
 
 def tour_with_ship(tour: DataFrame, scouts: DataFrame, systems: DataFrame) -> DataFrame:

@@ -114,13 +114,12 @@ def nearest(
     queries: DataFrame,
     targets: DataFrame,
     *,
-    max_k: int,
     keep: Column | None = None,
     per_place: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest targets of every query as ``query_id, id, distance, rank``.
 
-    ``queries`` carry ``k`` (at most ``max_k``) and a nullable inclusive ``radius``; ``keep`` filters
+    ``queries`` carry ``k`` and a nullable inclusive ``radius``; ``keep`` filters
     pairs before ranking. Ties go to the smaller id. A query with fewer than ``k`` matches gets all
     it has.
 
@@ -130,7 +129,7 @@ def nearest(
     on with cells of twice the size. The first size is set by the fullest cell, so that dense areas
     finish on fine grids and never meet as a whole.
 
-    ``per_place`` may be given when ``keep`` drops fewer than ``per_place - max_k`` targets of any
+    ``per_place`` may be given when ``keep`` drops fewer than ``per_place`` less the largest ``k`` targets of any
     query: of many targets at one identical position only that many can matter.
     """
     spark = queries.sparkSession
@@ -141,7 +140,8 @@ def nearest(
     schema = "query_id {}, id {}, distance double, rank int".format(
         queries.schema["query_id"].dataType.simpleString(), targets.schema["id"].dataType.simpleString()
     )
-    extent, count = _measure(queries, targets)
+    max_k = queries.agg(F.max("k")).first()[0]
+    extent, count = _measure(queries, targets) if max_k else (0.0, 0)
     if count == 0:
         return spark.createDataFrame([], schema)
     if extent == 0.0:

@@ -107,7 +107,7 @@ def ambient_temperatures_logistic(m: SampleMap) -> DataFrame:
                   * (o_totalprice / 1e4 * 1.495978707e11 / 299792458e0)) * 1e-21)) * (200e0 / pi()) END, 6) AS au_k,
               round(CASE WHEN c_acctbal > 0 THEN pow(c_acctbal * 1e24 /
                 (16 * pi() * 5.670374419e-8 * (o_totalprice * 1e6) * (o_totalprice * 1e6)), 25e-2) END, 4) AS black_body_k,
-              CASE WHEN c_acctbal <= 0 THEN 'luminosity must be positive' END AS problem
+              CASE WHEN c_acctbal <= 0 THEN 'luminosity_range' END AS problem
        FROM orders JOIN customer ON c_custkey = o_custkey""",
 )
 def temperature_models(m: SampleMap) -> DataFrame:
@@ -151,13 +151,14 @@ def model_accuracy(m: SampleMap) -> DataFrame:
 
 
 @query(
-    """SELECT 'skipped' AS item, count(*) AS value FROM raw_jumps
+    """SELECT 'skipped' AS item, CAST(NULL AS BIGINT) AS id, count(*) AS jumps FROM raw_jumps
        WHERE fromSystemId NOT IN (SELECT solarSystemId FROM raw_systems)
           OR toSystemId NOT IN (SELECT solarSystemId FROM raw_systems)
        UNION ALL
-       SELECT 'unknown_id', id FROM (
-         SELECT DISTINCT id FROM (SELECT fromSystemId AS id FROM raw_jumps UNION ALL SELECT toSystemId FROM raw_jumps)
-         WHERE id NOT IN (SELECT solarSystemId FROM raw_systems) ORDER BY id LIMIT 5)""",
+       SELECT 'unknown_id', id, count(*) FROM (
+         SELECT fromSystemId AS id FROM raw_jumps
+         UNION ALL SELECT toSystemId FROM raw_jumps WHERE toSystemId <> fromSystemId)
+       WHERE id NOT IN (SELECT solarSystemId FROM raw_systems) GROUP BY id""",
     ("raw_jumps", "raw_systems"),
 )
 def dangling_jumps(m: SampleMap) -> DataFrame:
@@ -171,14 +172,11 @@ def gate_edges(m: SampleMap) -> DataFrame:
 
 @query(
     """WITH RECURSIVE raw_ids AS (SELECT solarSystemId AS id FROM raw_systems)
-       SELECT id AS src, 0 AS part, coalesce(targets, '') AS targets FROM raw_ids
-       LEFT JOIN (SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS targets FROM pairs GROUP BY src)
-       ON src = id""",
+       SELECT id AS src, dst FROM raw_ids LEFT JOIN pairs ON src = id""",
     ("pairs", "raw_systems"),
 )
 def adjacency_lists(m: SampleMap) -> DataFrame:
-    lists = edges.adjacency(m.pairs, m.bare_systems)
-    return lists.select("src", "part", F.concat_ws(",", F.col("targets").cast("array<string>")).alias("targets"))
+    return edges.adjacency(m.pairs, m.bare_systems)
 
 
 @query(
@@ -186,7 +184,7 @@ def adjacency_lists(m: SampleMap) -> DataFrame:
     ("gaps",),
 )
 def radius_join(m: SampleMap) -> DataFrame:
-    found = edges.spatial_edges(m.systems, max_jump=45.0, neighbours=0)
+    found = edges.spatial_edges(m.systems, max_jump=45.0)
     return found.select("src", "dst", r6("distance").alias("distance"))
 
 
@@ -242,7 +240,6 @@ def nearest_vectors(m: SampleMap) -> DataFrame:
         points.select(F.col("vec_id").alias("query_id"), "x", "y", "z", F.lit(5).alias("k"),
                       F.lit(None).cast("double").alias("radius")),
         points.withColumnRenamed("vec_id", "id"),
-        max_k=5,
         keep=F.col("query_id") != F.col("id"),
     )
     return found.withColumn("distance", r6("distance"))
@@ -326,12 +323,12 @@ _CHECKED_SHIPS = """WITH RECURSIVE typed AS (
          TRY_CAST(fuel_capacity_units AS DOUBLE) AS fuel_capacity, TRY_CAST(capacity_m3 AS DOUBLE) AS cargo_capacity
   FROM ship_rows),
 checked AS (
-  SELECT *, CASE WHEN base_mass_kg IS NULL THEN 'invalid base_mass_kg'
-                 WHEN base_mass_kg <= 0 THEN 'base_mass_kg must be a finite positive number'
-                 WHEN specific_heat <= 0 THEN 'specific_heat must be a finite positive number'
-                 WHEN fuel_capacity <= 0 THEN 'fuel_capacity must be a finite positive number'
-                 WHEN cargo_capacity <= 0 THEN 'cargo_capacity must be a finite positive number'
-                 WHEN count(*) OVER (PARTITION BY lower(name)) > 1 THEN 'duplicate ship name' END AS problem
+  SELECT *, CASE WHEN base_mass_kg IS NULL THEN 'base_mass_kg_unreadable'
+                 WHEN base_mass_kg <= 0 THEN 'base_mass_kg_range'
+                 WHEN specific_heat <= 0 THEN 'specific_heat_range'
+                 WHEN fuel_capacity <= 0 THEN 'fuel_capacity_range'
+                 WHEN cargo_capacity <= 0 THEN 'cargo_capacity_range'
+                 WHEN count(*) OVER (PARTITION BY lower(name)) > 1 THEN 'name_repeated' END AS problem
   FROM typed)
 """
 
@@ -363,9 +360,9 @@ def ship_suggestions(m: SampleMap) -> DataFrame:
 @query(
     """SELECT request_id, s.name AS ship_name,
               CASE WHEN s.name IS NULL THEN CASE WHEN ship = 'none' THEN 'none' ELSE 'unknown' END
-                   WHEN fuel < 0 THEN 'fuel_load must be finite and non-negative'
-                   WHEN fuel > fuel_capacity THEN 'fuel_load exceeds ship fuel_capacity'
-                   WHEN cargo < 0 THEN 'cargo_mass must be finite and non-negative' ELSE 'ok' END AS ship_status,
+                   WHEN fuel < 0 THEN 'fuel_load_range'
+                   WHEN fuel > fuel_capacity THEN 'fuel_load_over_tank'
+                   WHEN cargo < 0 THEN 'cargo_mass_range' ELSE 'ok' END AS ship_status,
               round(CASE WHEN s.name IS NOT NULL THEN coalesce(fuel, fuel_capacity) END, 6) AS loaded_fuel,
               round(CASE WHEN s.name IS NOT NULL THEN cargo END, 6) AS loaded_cargo
        FROM (SELECT event_id AS request_id,

@@ -374,7 +374,7 @@ def streamed_scout_gates(m: SampleMap) -> DataFrame:
 
 
 @query(
-    """SELECT request_id, system, 'unknown system' AS problem FROM scout_requests WHERE system NOT IN (SELECT name FROM bare)""",
+    """SELECT request_id, system, 'system_unknown' AS problem FROM scout_requests WHERE system NOT IN (SELECT name FROM bare)""",
     ("scout_requests", "bare"),
 )
 def streamed_rejections(m: SampleMap) -> DataFrame:

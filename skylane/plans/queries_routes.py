@@ -99,17 +99,17 @@ def heat_projections(m: SampleMap) -> DataFrame:
 
 @query(
     """SELECT event_id AS request_id,
-              CASE WHEN user_id = 3 THEN 'from is required'
-                   WHEN event_type = 'error' AND value < 5 THEN 'to is required'
-                   WHEN event_type = 'signup' AND value > 90 THEN 'unknown algorithm'
-                   WHEN value - 2 <= 0 THEN 'max_jump must be positive'
-                   WHEN 400 - value <= 0 THEN 'max_temperature must be positive'
-                   WHEN event_type = 'view' AND value > 80 THEN 'ship cannot be empty'
-                   WHEN NOT (value BETWEEN 1 AND 100) THEN 'fuel_quality must be between 1 and 100'
-                   WHEN 95 - value < 0 THEN 'cargo_mass must be zero or greater'
-                   WHEN 92 - value < 0 THEN 'fuel_load must be zero or greater'
-                   WHEN CAST(floor(value * 80) AS INTEGER) > 5000 THEN 'max_spatial_neighbors must be 0 or at most 5000'
-                   WHEN event_type = 'purchase' AND user_id % 2 = 0 THEN 'destination must differ from origin' END AS problem
+              CASE WHEN user_id = 3 THEN 'from_missing'
+                   WHEN event_type = 'error' AND value < 5 THEN 'to_missing'
+                   WHEN event_type = 'signup' AND value > 90 THEN 'algorithm_unknown'
+                   WHEN value - 2 <= 0 THEN 'max_jump_range'
+                   WHEN 400 - value <= 0 THEN 'max_temperature_range'
+                   WHEN event_type = 'view' AND value > 80 THEN 'ship_blank'
+                   WHEN NOT (value BETWEEN 1 AND 100) THEN 'fuel_quality_range'
+                   WHEN 95 - value < 0 THEN 'cargo_mass_range'
+                   WHEN 92 - value < 0 THEN 'fuel_load_range'
+                   WHEN CAST(floor(value) AS INTEGER) - 40 < 0 THEN 'max_spatial_neighbors_range'
+                   WHEN event_type = 'purchase' AND user_id % 2 = 0 THEN 'same_ends' END AS problem
        FROM events""",
 )
 def route_request_problems(m: SampleMap) -> DataFrame:
@@ -128,7 +128,7 @@ def route_request_problems(m: SampleMap) -> DataFrame:
         value.alias("fuel_quality"),
         (95 - value).alias("cargo_mass"),
         (92 - value).alias("fuel_load"),
-        F.floor(value * 80).cast("int").alias("max_spatial_neighbors"),
+        (F.floor(value).cast("int") - 40).alias("max_spatial_neighbors"),
     )
     checked = requests.checked(requests.route_requests(asked), requests.route_problem(reject_same_ends=True))
     return checked.select("request_id", "problem")
@@ -136,12 +136,11 @@ def route_request_problems(m: SampleMap) -> DataFrame:
 
 @query(
     """SELECT event_id AS request_id,
-              CASE WHEN user_id = 3 THEN 'system is required'
-                   WHEN floor(value) < 1 THEN 'limit must be at least 1'
-                   WHEN floor(value) > 100 THEN 'limit cannot exceed 100'
-                   WHEN value - 4 <= 0 THEN 'radius must be positive'
-                   WHEN 90 - value <= 0 THEN 'max_temperature must be positive'
-                   WHEN event_type = 'view' THEN 'radius is required' END AS problem,
+              CASE WHEN user_id = 3 THEN 'system_missing'
+                   WHEN floor(value) < 1 THEN 'limit_range'
+                   WHEN value - 4 <= 0 THEN 'radius_range'
+                   WHEN 90 - value <= 0 THEN 'max_temperature_range'
+                   WHEN event_type = 'view' THEN 'radius_missing' END AS problem,
               round(CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN 15e1 ELSE 90 - value END, 6) AS cap
        FROM events""",
 )
@@ -210,7 +209,7 @@ def _route_profiles(m: SampleMap, **fixed: str | bool) -> tuple[DataFrame, DataF
         "resolved",
     )
     gates = edges.gate_edges(m.pairs, systems)
-    jumps = edges.neighbour_edges(systems, [edges.NeighbourGraph(neighbours=8)])
+    jumps = edges.neighbour_edges(systems, edges.graph_table(m.spark, [edges.NeighbourGraph(neighbours=8)]))
     return resolved, search.edge_table(gates, jumps, systems), systems
 
 
@@ -336,12 +335,11 @@ SELECT s.request_id, s.mode, s.objective,
        round(r.cost, 6) AS cost, round(s.max_length, 6) AS max_length,
        CASE WHEN stage <> 'unknown_system' AND r.node IS NULL THEN
          CASE WHEN max_jump IS NULL AND NOT avoid_gates AND max_temperature IS NULL AND NOT avoid_critical_state
-              THEN 'Try a different algorithm (for example, --algorithm dijkstra) or relax constraints.'
-              ELSE concat('Try ', concat_ws(', ', CASE WHEN max_jump IS NOT NULL THEN 'increase --max-jump' END,
-                     CASE WHEN avoid_gates THEN 'allow gates (omit --avoid-gates)' END,
-                     CASE WHEN max_temperature IS NOT NULL THEN 'raise --max-temp' END,
-                     CASE WHEN avoid_critical_state AND ship_name IS NOT NULL THEN 'omit --avoid-critical-state'
-                          WHEN avoid_critical_state THEN 'omit --avoid-critical-state or specify a ship with --ship' END), '.')
+              THEN 'algorithm'
+              ELSE concat_ws(',', CASE WHEN max_jump IS NOT NULL THEN 'max_jump' END, CASE WHEN avoid_gates THEN 'avoid_gates' END,
+                     CASE WHEN max_temperature IS NOT NULL THEN 'max_temperature' END,
+                     CASE WHEN avoid_critical_state THEN 'avoid_critical_state' END,
+                     CASE WHEN avoid_critical_state AND ship_name IS NULL THEN 'ship' END)
          END END AS advice
 FROM staged s LEFT JOIN reach r ON r.request_id = s.request_id AND r.node = s.goal AND s.stage = 'open'"""
 
@@ -877,15 +875,13 @@ def scout_documents(m: SampleMap) -> DataFrame:
 
 
 @query(
-    """SELECT s.id, s.name, s.constellation_name, 0 AS part, coalesce(gates, '') AS gates FROM bare s LEFT JOIN (
-         SELECT src, string_agg(concat(name, ':', CAST(dst AS VARCHAR)), ',' ORDER BY name, dst) AS gates
-         FROM pairs JOIN bare ON id = dst GROUP BY src) ON src = s.id""",
+    """SELECT b.id, b.name, b.constellation_name, g.id AS gate_id, g.name AS gate_name
+       FROM bare b LEFT JOIN (SELECT src, id, name FROM pairs JOIN bare ON id = dst) g ON g.src = b.id""",
     ("bare", "pairs"),
 )
 def system_details(m: SampleMap) -> DataFrame:
     listed = scout.system_details(m.bare_systems, m.pairs)
-    text = F.transform("gates", lambda g: F.concat_ws(":", g["gate_name"], g["gate_id"].cast("string")))
-    return listed.select("id", "name", "constellation_name", "part", F.array_join(text, ",").alias("gates"))
+    return listed.select("id", "name", "constellation_name", "gate_id", "gate_name")
 
 
 @query(

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from skylane.functions.ship_physics import fuel_rate, heat_distance_cap, heat_per_light_year, total_mass
 from skylane.operators import enrich
-from skylane.operators.edges import NeighbourGraph, gate_edges, neighbour_edges
+from skylane.operators.edges import gate_edges, neighbour_edges
 from skylane.operators.names import ROUTE_SUGGESTIONS, name_index, resolve, suggestion_lists, unresolved
 from skylane.operators.requests import checked, endpoint_blocked, failure_advice, route_problem, route_requests
-from skylane.operators.search import DEFAULT_MAX_ROUNDS, PROFILE, edge_table, rebuild_paths, search
+from skylane.operators.search import PROFILE, edge_table, rebuild_paths, search
 from skylane.session import spread_lookup, written
 from skylane.sources.ships import DEFAULT_SHIP, with_ship
 
@@ -124,64 +124,50 @@ def resolved_requests(requests: DataFrame, systems: DataFrame, ships: DataFrame,
             F.col("start_ambient"), F.col("ship_base_mass_kg"), F.col("ship_specific_heat"), F.col("heat_calibration")
         ),
     )
+    # Jumps without any bound, neither a radius nor a neighbour count, are not a graph that can be built.
+    boundless = (
+        (F.col("status") == "open")
+        & F.col("jump_rate").isNotNull()
+        & F.col("max_length").isNull()
+        & (F.coalesce("max_spatial_neighbors", F.lit(0)) == 0)
+    )
     return (
         asked.withColumn("status", status)
-        .withColumn("problem", F.coalesce("problem", bad_loadout))
-        .withColumn("unknown_name", F.when(F.col("status") == "unknown_system", unknown))
-        .withColumn("avoid_ids", avoids)
         # least() skips nulls: a missing limit sets none.
         .withColumn("max_length", F.least("max_jump", cap))
         .withColumns(cost_columns())
+        .withColumn("problem", F.coalesce("problem", bad_loadout, F.when(boundless, "jumps_unbounded")))
+        .withColumn("status", F.when(boundless, "invalid").otherwise(F.col("status")))
+        .withColumn("unknown_name", F.when(F.col("status") == "unknown_system", unknown))
+        .withColumn("avoid_ids", avoids)
     )
 
 
-def neighbour_graphs(open_requests: DataFrame) -> list[tuple[NeighbourGraph, bool]]:
-    """Distinct jump graphs a batch needs.
+def with_graphs(open_requests: DataFrame, systems: DataFrame) -> DataFrame:
+    """Requests with ``graph_id`` and ``ambient_limit``, what the graph asks of a target's ambient temperature.
 
-    Rank and radius limits nest, so one graph per temperature limit serves every request with that
-    limit: it is built for the largest neighbour count and radius among them, and each request then
-    cuts it down. Only these few parameter rows reach the driver.
+    Rank and radius limits nest, so one graph serves all requests with one temperature limit, ranked and
+    unranked apart: it is built for the largest neighbour count and radius among them, and each request then
+    cuts it down. A limit that no system's ambient temperature exceeds is none.
     """
-    rows = (
-        open_requests.where("jump_rate is not null")
-        .withColumn("unlimited", (F.col("max_spatial_neighbors") == 0) & F.col("max_length").isNotNull())
-        .groupBy("max_temperature", "unlimited")
-        .agg(
-            F.max("max_length").alias("radius"),
-            F.bool_or(F.col("max_length").isNull()).alias("unbounded"),
-            F.max("max_spatial_neighbors").alias("neighbours"),
-            F.min("max_spatial_neighbors").alias("fewest"),
-        )
-        .orderBy(F.col("max_temperature").asc_nulls_first(), "unlimited")
-        .collect()
+    hottest = systems.agg(F.max("min_external_temp").alias("hottest"))
+    limited = open_requests.join(F.broadcast(hottest))  # one row
+    ambient = F.when(F.col("max_temperature") < F.col("hottest"), F.col("max_temperature"))
+    ranked = F.coalesce(F.col("max_spatial_neighbors"), F.lit(0)) > 0
+    # A hash is number enough: nothing but equality is asked of it.
+    graph_id = F.when(F.col("jump_rate").isNotNull(), F.xxhash64("ambient_limit", ranked))
+    return limited.withColumn("ambient_limit", ambient).withColumn("graph_id", graph_id).drop("hottest")
+
+
+def neighbour_graphs(shaped: DataFrame) -> DataFrame:
+    """The table of distinct jump graphs a batch needs; it stays a table."""
+    asked = shaped.where("graph_id is not null").groupBy("graph_id").agg(
+        F.max(F.when(F.col("max_spatial_neighbors") > 0, F.col("max_spatial_neighbors"))).alias("k"),
+        F.max("max_length").alias("widest"),
+        F.bool_or(F.col("max_length").isNull()).alias("unbounded"),
+        F.max("ambient_limit").alias("limit"),
     )
-    graphs = []
-    for number, r in enumerate(rows, start=1):
-        # Unlimited neighbours without any radius: the widest graph there is.
-        everything = not r["unlimited"] and r["fewest"] == 0
-        graphs.append(
-            (
-                NeighbourGraph(
-                    graph_id=number,
-                    max_jump=None if r["unbounded"] or everything else r["radius"],
-                    max_temperature=r["max_temperature"],
-                    neighbours=0 if r["unlimited"] or everything else r["neighbours"],
-                ),
-                r["unlimited"],
-            )
-        )
-    return graphs
-
-
-def _graph_column(graphs: list[tuple[NeighbourGraph, bool]]) -> Column:
-    unlimited = (F.col("max_spatial_neighbors") == 0) & F.col("max_length").isNotNull()
-    graph_id = F.lit(None).cast("int")
-    for graph, is_unlimited in graphs:
-        same = (unlimited == F.lit(is_unlimited)) & F.col("max_temperature").eqNullSafe(
-            F.lit(graph.max_temperature).cast("double")
-        )
-        graph_id = F.when(same, F.lit(graph.graph_id)).otherwise(graph_id)
-    return graph_id
+    return asked.select("graph_id", "k", F.when(~F.col("unbounded"), F.col("widest")).alias("radius"), "limit")
 
 
 def plan_routes(
@@ -191,26 +177,24 @@ def plan_routes(
     ships: DataFrame,
     *,
     default_ship: str | None = DEFAULT_SHIP,
-    max_rounds: int = DEFAULT_MAX_ROUNDS,
     suggest: bool = True,
 ) -> RoutePlans:
     """Plan every request of a table against one map.
 
-    Requests that ask the same thing are searched once. ``status`` is ok, not_found, unconverged,
-    unknown_system, unknown_ship or invalid; not_found rows carry advice and unknown_system rows
+    Requests that ask the same thing are searched once. ``status`` is ok, not_found, unknown_system,
+     unknown_ship or invalid; not_found rows carry advice and unknown_system rows
     suggestions.
     """
     systems = written(systems, "systems")
     asked = written(resolved_requests(requests, systems, ships, default_ship), "requests")
     open_requests = asked.where("status = 'open'")
-    graphs = neighbour_graphs(open_requests)
+    shaped = written(with_graphs(open_requests, systems), "shaped")
     gates = gate_edges(pairs, systems)
-    jumps = neighbour_edges(systems, [g for g, _ in graphs]) if graphs else None
+    jumps = None if shaped.where("graph_id is not null").isEmpty() else neighbour_edges(systems, neighbour_graphs(shaped))
     edges = written(edge_table(gates, jumps, systems), "all-edges")
 
-    shaped = open_requests.select(
+    shaped = shaped.select(
         "*",
-        _graph_column(graphs).alias("graph_id"),
         F.col("max_spatial_neighbors").alias("neighbours"),
         F.col("max_temperature").alias("max_star_temperature"),
     )
@@ -235,18 +219,18 @@ def plan_routes(
     )
     profiles = searches.drop("question").withColumnRenamed("search_id", "request_id")
     avoided = profiles.select("request_id", F.explode("avoid_ids").alias("node"))
-    arrivals, state = search(profiles, edges, systems, avoided, max_rounds)
+    arrivals, state = search(profiles, edges, systems, avoided)
     paths = written(rebuild_paths(arrivals, state), "paths")
 
     answers = arrivals.select(
-        F.col("request_id").alias("search_id"), "found", "cost", "converged"
+        F.col("request_id").alias("search_id"), "found", "cost"
     )
     found = spread_lookup(asks, answers, "search_id", "request_id", n_searches)
     steps = _steps_of(asks, paths)
 
     unsafe = written(_unsafe(steps, asked, asks, edges, systems), "unsafe")
     if not unsafe.isEmpty():
-        steps, found = _replanned(unsafe, steps, found, profiles, asks, asked, edges, systems, max_rounds)
+        steps, found = _replanned(unsafe, steps, found, profiles, asks, edges, systems)
         steps = written(steps, "replanned-steps")
     return RoutePlans(_summary(asked, found, systems, suggest), steps, edges)
 
@@ -275,30 +259,28 @@ def _unsafe(steps: DataFrame, asked: DataFrame, asks: DataFrame, edges: DataFram
     return enrich.unsafe_requests(hops, edges)
 
 
-def _replanned(unsafe, steps, found, profiles, asks, asked, edges, systems, max_rounds):
-    """Search once more for the flagged requests, under their own limits without the heat distance cap."""
+def _replanned(unsafe, steps, found, profiles, asks, edges, systems):
+    """Search once more for the flagged requests, each under the limits that it had: the graph is shared by a
+    batch, so a wider limit would let a request use jumps that only others asked for."""
     again = (
         asks.select("request_id", "search_id", "graph_id").join(unsafe, "request_id", "left_semi")
-        .join(asked.select("request_id", F.col("max_jump").alias("own_limit")), "request_id")
         .join(profiles.drop("graph_id").withColumnRenamed("request_id", "search_id"), "search_id")
-        .withColumn("max_length", F.col("own_limit"))
     )
     avoided = again.select("request_id", F.explode("avoid_ids").alias("node"))
-    arrivals, state = search(again, edges, systems, avoided, max_rounds)
+    arrivals, state = search(again, edges, systems, avoided)
     paths = rebuild_paths(arrivals, state)
     kept_steps = steps.join(unsafe, "request_id", "left_anti").unionByName(paths)
-    kept_found = found.join(unsafe, "request_id", "left_anti").select("request_id", "found", "cost", "converged", "graph_id", "mode")
-    new_found = arrivals.select("request_id", "found", "cost", "converged").join(
+    kept_found = found.join(unsafe, "request_id", "left_anti").select("request_id", "found", "cost", "graph_id", "mode")
+    new_found = arrivals.select("request_id", "found", "cost").join(
         asks.select("request_id", "graph_id", "mode"), "request_id"
     )
     return kept_steps, kept_found.unionByName(new_found.select(*kept_found.columns))
 
 
 def _summary(asked: DataFrame, found: DataFrame, systems: DataFrame, suggest: bool) -> DataFrame:
-    outcome = found.select("request_id", "found", "cost", "converged", "graph_id")
+    outcome = found.select("request_id", "found", "cost", "graph_id")
     status = (
         F.when(F.col("status") != "open", F.col("status"))
-        .when(~F.col("converged"), "unconverged")
         .when(F.col("found"), "ok")
         .otherwise("not_found")
     )

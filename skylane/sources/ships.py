@@ -43,7 +43,7 @@ def match_headers(headers: list[str]) -> dict[str, str]:
     missing = [field for field, header in found.items() if header is None]
     if missing:
         raise MissingShipColumns(
-            f"missing required columns: {', '.join(missing)}. Available: {', '.join(headers)}"
+            f"no header for {missing} among {headers}"
         )
     return found
 
@@ -65,13 +65,13 @@ def checked_ships(raw: DataFrame) -> DataFrame:
         F.trim(F.col(f"`{headers['name']}`").cast("string")).alias("name"),
         *[F.trim(F.col(f"`{headers[f]}`").cast("string")).alias(f"{f}_text") for f in NUMERIC_FIELDS],
     ).withColumns({f: F.col(f"{f}_text").try_cast("double") for f in NUMERIC_FIELDS})
-    problem = F.when(F.coalesce(F.col("name"), F.lit("")) == "", "ship name must not be empty")
+    problem = F.when(F.coalesce(F.col("name"), F.lit("")) == "", "name_blank")
     for field in NUMERIC_FIELDS:
-        problem = problem.when(F.col(field).isNull(), f"invalid {field}").when(
-            ~(is_finite(F.col(field)) & (F.col(field) > 0)), f"{field} must be a finite positive number"
+        problem = problem.when(F.col(field).isNull(), f"{field}_unreadable").when(
+            ~(is_finite(F.col(field)) & (F.col(field) > 0)), f"{field}_range"
         )
     counts = typed.groupBy(folded(F.col("name")).alias("key")).agg(F.count(F.lit(1)).alias("bearers"))
-    problem = problem.when(F.col("bearers") > 1, "duplicate ship name")
+    problem = problem.when(F.col("bearers") > 1, "name_repeated")
     return (
         typed.join(counts, folded(F.col("name")).eqNullSafe(F.col("key")), "left")
         .select("name", *NUMERIC_FIELDS, problem.alias("problem"))
@@ -113,9 +113,9 @@ def with_ship(requests: DataFrame, ships: DataFrame, default: str | None = DEFAU
     fuel = F.coalesce(F.col("fuel_load"), F.col("ship_fuel_capacity"))
     cargo = F.coalesce(F.col("cargo_mass"), F.lit(0.0))
     problem = (
-        F.when(~is_finite(fuel) | (fuel < 0), "fuel_load must be finite and non-negative")
-        .when(fuel > F.col("ship_fuel_capacity"), "fuel_load exceeds ship fuel_capacity")
-        .when(~is_finite(cargo) | (cargo < 0), "cargo_mass must be finite and non-negative")
+        F.when(~is_finite(fuel) | (fuel < 0), "fuel_load_range")
+        .when(fuel > F.col("ship_fuel_capacity"), "fuel_load_over_tank")
+        .when(~is_finite(cargo) | (cargo < 0), "cargo_mass_range")
     )
     status = (
         F.when(found & problem.isNotNull(), problem)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skylane.functions import ship_physics as p
 from skylane.functions.temperature import inverse_tangent, logistic, stefan_boltzmann
-from skylane.functions.text import cooldown_text, is_developer_system, jaro_winkler_score, status_class
+from skylane.functions.text import cooldown_text, is_developer_system, jaro_winkler, status_class
 from skylane.operators.celestial import model_accuracy
 from skylane.operators.enrich import fold_fuel, running_fuel
 
@@ -121,7 +121,9 @@ def test_small_text(spark):
         assert value(spark, is_developer_system(F.lit(name))) is hidden
 
 
-def test_similarity():
-    assert jaro_winkler_score("Bran", "Brana") == pytest.approx(0.96)
-    assert jaro_winkler_score("2L2", "H:2L2S") == pytest.approx(0.8333333333)
-    assert jaro_winkler_score("", "x") == 0.0
+def test_similarity(spark):
+    pairs = [("Bran", "Brana", 0.96), ("2L2", "H:2L2S", 0.8333333333), ("", "x", 0.0), ("", "", 1.0), ("abc", "xyz", 0.0),
+             ("MARTHA", "MARHTA", 0.9611111111), ("DIXON", "DICKSONX", 0.8133333333)]
+    rows = spark.createDataFrame(pairs, "a string, b string, expected double")
+    for r in rows.select("expected", jaro_winkler(F.col("a"), F.col("b")).alias("got")).collect():
+        assert r["got"] == pytest.approx(r["expected"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skylane import session
 from skylane.operators import search
-from skylane.operators.edges import NeighbourGraph, gate_edges, neighbour_edges
+from skylane.operators.edges import NeighbourGraph, gate_edges, graph_table, neighbour_edges
 from skylane.plans.route_planner import enriched_routes, plan_routes
 
 SHIPS = [("Reflex", 10_000_000.0, 0.9, 1750.0, 800_000.0)]
@@ -26,7 +26,10 @@ def plan(spark, systems, gates, requests, schema, **options):
     s = spark.createDataFrame(systems, SYSTEM)
     pairs = spark.createDataFrame(gates, "src long, dst long")
     ships = spark.createDataFrame(SHIPS, SHIP)
-    return plan_routes(spark.createDataFrame(requests, schema), s, pairs, ships, **options), s, pairs
+    asked = spark.createDataFrame(requests, schema)
+    if "max_spatial_neighbors" not in asked.columns:
+        asked = asked.withColumn("max_spatial_neighbors", F.lit(50))
+    return plan_routes(asked, s, pairs, ships, **options), s, pairs
 
 
 def outcome(plans):
@@ -78,13 +81,49 @@ def test_statuses(spark):
         1: "not_found", 2: "unknown_system", 3: "not_found", 4: "not_found", 5: "ok", 6: "unknown_ship", 7: "invalid",
         8: "not_found", 9: "unknown_system",
     }
-    assert "specify a ship" in got[4]["advice"] and "raise --max-temp" in got[1]["advice"]
-    assert got[8]["advice"] == "Try omit --avoid-critical-state."
+    assert "ship" in got[4]["advice"].split(",") and "max_temperature" in got[1]["advice"].split(",")
+    assert got[8]["advice"] == "avoid_critical_state"
     assert got[9]["unknown_name"] == "Nowhere"
     assert got[2]["suggestions"] == ["S3"]
     assert paths(plans)[5] == [1, 3]
 
 
+def test_neighbours_are_cut_only_where_a_request_says_so(spark):
+    # A line of systems one light-year apart: hops follow from what each request may jump.
+    systems = [system(i, float(i)) for i in range(400)]
+    rows = [
+        (1, "S0", "S399", None, 500.0, None),  # a radius and no count: every system is one jump away
+        (2, "S0", "S399", 0, 500.0, None),
+        (3, "S0", "S399", 40, None, None),
+        (4, "S0", "S10", 1, 1.0, None),
+        (5, "S0", "S1", None, None, None),  # neither: there is no such graph
+        (6, "S0", "S10", 3, None, 30.0),
+        (7, "S0", "S10", 3, None, 31.0),
+    ]
+    plans, _, _ = plan(
+        spark, systems, [(0, 0)], [(*r, False, True, "dijkstra", "distance") for r in rows],
+        "request_id long, from_name string, to_name string, max_spatial_neighbors int, max_jump double, max_temperature double, "
+        "avoid_critical_state boolean, avoid_gates boolean, algorithm string, optimization string",
+    )
+    got = outcome(plans)
+    assert {k: r["status"] for k, r in got.items()} == {1: "ok", 2: "ok", 3: "ok", 4: "not_found", 5: "invalid", 6: "ok", 7: "ok"}
+    assert got[5]["problem"] == "jumps_unbounded"
+    hops = {k: len(v) - 1 for k, v in paths(plans).items()}
+    assert hops[1] == hops[2] == 1 and hops[3] >= 10
+
+
+def test_each_limit_ranks_the_targets_that_pass_it(spark):
+    # The nearest targets are hot; with one neighbour a cooler limit has to reach further.
+    systems = [system(0, 0.0), system(1, 1.0, ambient=50.0), system(2, 2.0, ambient=20.0), system(3, 3.0, ambient=5.0)]
+    rows = [(1, "S0", "S1", 60.0), (2, "S0", "S2", 30.0), (3, "S0", "S3", 10.0), (4, "S0", "S2", 60.0), (5, "S0", "S3", 25.0)]
+    plans, _, _ = plan(
+        spark, systems, [(0, 0)], [(*r, 1, False, True) for r in rows],
+        "request_id long, from_name string, to_name string, max_temperature double, max_spatial_neighbors int, "
+        "avoid_critical_state boolean, avoid_gates boolean",
+    )
+    assert {k: v for k, v in paths(plans).items() if len(v) == 2} == {1: [0, 1], 2: [0, 2], 3: [0, 3]}
+
+
 def random_map(spark, seed):
     rng = random.Random(seed)
     systems = [system(i, rng.uniform(0, 200), rng.uniform(0, 200), ambient=rng.uniform(0, 60)) for i in range(60)]
@@ -92,7 +131,7 @@ def random_map(spark, seed):
     gates |= {(b, a) for a, b in gates}
     s = spark.createDataFrame(systems, SYSTEM)
     g = gate_edges(spark.createDataFrame(sorted(gates), "src long, dst long"), s)
-    j = neighbour_edges(s, [NeighbourGraph(neighbours=5, max_jump=60.0)])
+    j = neighbour_edges(s, graph_table(spark, [NeighbourGraph(neighbours=5, max_jump=60.0)]))
     return s, session.written(search.edge_table(g, j, s), "test-edges")
 
 
@@ -162,7 +201,7 @@ def test_search_equals_dijkstra(spark, monkeypatch, kind, large):
         steps.setdefault(r["request_id"], {})[r["step"]] = r["system_id"]
     for i, r in got.items():
         expected = brute(by_source, kind, r["start"], r["goal"], shut - {r["start"], r["goal"]})
-        assert r["found"] == (expected is not None) and r["converged"]
+        assert r["found"] == (expected is not None)
         if expected is not None:
             assert r["cost"] == pytest.approx(expected, rel=1e-9)
             walk = [steps[i][n] for n in range(len(steps[i]))]
@@ -170,10 +209,14 @@ def test_search_equals_dijkstra(spark, monkeypatch, kind, large):
             assert all(any(e["dst"] == b for e in by_source[a]) for a, b in zip(walk, walk[1:]))
 
 
-def test_rounds_may_run_out(spark):
-    s, table = random_map(spark, 3)
-    arrivals, _ = search.search(profiles(spark, "directed"), table, s, max_rounds=1)
-    assert not all(r["converged"] for r in arrivals.collect())
+def test_a_long_chain_of_gates_is_followed_to_its_end(spark):
+    systems = [system(i, 10.0 * i) for i in range(41)]
+    plans, _, _ = plan(
+        spark, systems, [(i, i + 1) for i in range(40)], [(1, "S0", "S40", "bfs")],
+        "request_id long, from_name string, to_name string, algorithm string",
+    )
+    assert outcome(plans)[1]["status"] == "ok"
+    assert paths(plans)[1] == list(range(41))
 
 
 def test_same_questions_are_searched_once_and_all_answered(spark, monkeypatch):

@@ -31,7 +31,7 @@ def gap(a, b):
 def test_nearest_equals_brute_force(spark, kind, k, radius):
     rows, df = points(spark, kind)
     queries = df.select(F.col("id").alias("query_id"), "x", "y", "z", F.lit(k).alias("k"), F.lit(radius).cast("double").alias("radius"))
-    got = nearest(queries, df, max_k=k, keep=F.col("query_id") != F.col("id"), per_place=k + 1)
+    got = nearest(queries, df, keep=F.col("query_id") != F.col("id"), per_place=k + 1)
     found = {}
     for r in got.collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
