@@ -228,6 +228,7 @@ def request_counts_by_window(m: SampleMap) -> DataFrame:
     return monitor.request_counts(m.request_log, "path", "algorithm", window="5 minutes")
 
 
+# Upper bounds of the latency buckets in seconds; below, the hold times of the alerts in minutes.
 _BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
@@ -385,16 +386,16 @@ def streamed_rejections(m: SampleMap) -> DataFrame:
 @query(
     """WITH RECURSIVE w AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, * FROM request_log)
        SELECT window_start, path, CASE WHEN status BETWEEN 200 AND 599 THEN concat(CAST(status // 100 AS VARCHAR), 'xx') ELSE 'other' END
-              AS status_class, count(*) AS requests
+              AS status_class, count(*) AS requests, @LE@, count(latency_ms) AS le_11
        FROM w GROUP BY 1, 2, 3
-       HAVING window_start + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM request_log) - INTERVAL 10 MINUTE""",
+       HAVING window_start + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM request_log) - INTERVAL 10 MINUTE""".replace("@LE@", _LE),
     ("request_log",),
 )
 def streamed_request_counts(m: SampleMap) -> DataFrame:
     """Windowed counters with a watermark; windows not yet final when the input ends are not emitted."""
     counts = metrics.windowed_counts(_stamped(_event_stream(m, REQUEST_LOG)))
     return _drained(m, counts, "counts").select(
-        _wall_clock("window_start").alias("window_start"), "path", "status_class", "requests"
+        _wall_clock("window_start").alias("window_start"), "path", "status_class", "requests", *monitor.BUCKETS
     )
 
 

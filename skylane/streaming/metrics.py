@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skylane.functions.text import status_class
-from skylane.operators.monitor import Alert, _condition, _measures, bucket_counts
+from skylane.operators.monitor import BUCKETS, Alert, _condition, _measures, bucket_counts
 
 LATENESS = "10 minutes"
 
@@ -29,7 +29,7 @@ def windowed_counts(log: DataFrame, length: str = "1 minute", slide: str | None
         .agg(F.count(F.lit(1)).alias("requests"), *bucket_counts(F.col("latency_ms") / 1000.0))
         .select(
             F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-            "method", "path", "status_class", "requests",
+            "method", "path", "status_class", "requests", *BUCKETS,
         )
     )
 
