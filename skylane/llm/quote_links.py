@@ -20,11 +20,13 @@ quotes stays as it is. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylane.llm.common import counted, join_answers, let, text_of
-from skylane.session import written, written_counting
+from skylane.session import written
 
 _MARKS = r"^(?:[ \t]{0,3}>)+"
 # Attributions in a few languages (fixed values).
@@ -112,18 +114,28 @@ def reply_links(rows: DataFrame) -> DataFrame:
 
 
 def threads(replies: DataFrame) -> DataFrame:
-    """replies with root and depth, by jumps that double in every round."""
-    state = replies.select("conv_id", "turn", "rows", "reply_to", "n_linked", F.coalesce("reply_to", "turn").alias("root"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    state = written(state, "jumps")
+    """replies with root and depth, by jumps that double in every round; who has reached a root takes part no more."""
+    start = F.col("reply_to").isNull()
+    replies = written(replies, "links")
+    state = replies.select(
+        "conv_id", "turn", "rows", "reply_to", "n_linked",
+        F.coalesce("reply_to", "turn").alias("root"), F.when(start, 0).otherwise(1).cast("long").alias("depth"), start.alias("ended"),
+    )
+    ended = [state.filter("ended")]
+    state = state.filter("NOT ended")
     while True:
-        far = state.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"))
+        state, moving = counted(state, "jumps")
+        if not moving:
+            return reduce(DataFrame.unionByName, ended)
+        every = reduce(DataFrame.unionByName, [*ended, state])
+        far = every.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"), F.col("ended").alias("over"))
         step = state.join(far, ["conv_id", "root"]).select(
-            "conv_id", "turn", "rows", "reply_to", "n_linked", F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("far") != F.col("root")).alias("moved")
-        )
-        step, moved = written_counting(step, "jumps", F.col("moved"))
-        state = step.drop("moved")
-        if not moved:
-            return state
+            "conv_id", "turn", "rows", "reply_to", "n_linked",
+            F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("over").alias("ended"),
+        )
+        step = written(step, "jumped")
+        ended.append(step.filter("ended"))
+        state = step.filter("NOT ended")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
