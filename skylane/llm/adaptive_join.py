@@ -5,18 +5,19 @@ similarity t or more are compared, at most d = |x| - ceil(t |x|) elements of x a
 so for every l their first d + l elements have at least l in common. Each document is given its own l:
 the more postings its plain prefix would probe, the longer the prefix and the more matches it must show.
 A document that cannot show them (its shared boilerplate alone is not enough) is out before any pair is
-made. What is left is compared with exact sets:
+made. What is left, the candidates, is compared with exact sets:
 
 1. Identical sets are one class, whatever their number, and go on as one.
 2. ``adaptive``: the filter above, from postings of the first elements only.
-3. ``stars``: in every posting list whose members are not yet connected, one pivot is verified against
-   the others. A group of near copies is connected after a few rounds with about as many verifications
-   as members, never by all its pairs.
-4. ``rare_first``: for what is still apart in some list, whole sets with their elements ordered by rising
-   frequency, plain prefixes of d + 1, and stars again in those lists.
-5. ``rest``: every pair of members of a list that is still not connected, so no link is lost. Short lists
-   give pairs; long ones are cut into cells in which the members outside the list's largest component
-   meet a block of all members, so a cell is bounded and only links leave it.
+3. ``short_pairs``: candidates that meet in lists of at most ``LONG_LIST`` members become pairs if they meet
+   often enough, the members' elements in longer lists counting for them. ``families``: connected pairs go to one
+   task as long as they are few, so that each set travels once; larger families are verified pair by pair.
+4. Candidates whose required matches may all lie in longer lists (large groups of near copies) are the dense
+   ones. ``rare_first`` orders their whole sets by rising frequency among themselves and makes lists of plain
+   prefixes of d + 1. ``stars``: rounds in which one pivot of each list is verified against the members not yet
+   connected to it. ``rest``: every pair still unconnected in some list, so no link is lost; short lists give
+   pairs, long ones are cut into cells in which the members outside the list's largest component meet a block
+   of all members, so a cell is bounded and only links leave it.
 
 Links are verified by exact set sizes; sets of hashes stand for the sets of shingles. Connected components
 come from rounds of smallest labels with short cuts. All intermediate tables are written to the work area.
@@ -33,7 +34,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -44,12 +44,13 @@ from skylane.llm import word_pieces
 from skylane.llm.common import counted, join_answers
 from skylane.session import small_side, written, written_counting
 
-# Rounds of pivots over the lists of first elements, and over those in order of frequency.
-FIRST_ROUNDS = 1
-MORE_ROUNDS = 2
-# Lists longer than this are cut into cells of about two blocks of members.
+# Rounds of pivots over the lists of dense candidates.
+PIVOT_ROUNDS = 3
+# Lists longer than this are not paired off; those of dense candidates are cut into cells of about two blocks.
 LONG_LIST = 64
-BLOCK = 256
+# Members that meet in one task: so many sets at most, and about so many elements.
+BLOCK = 1_024
+BLOCK_ELEMENTS = 1_000_000
 # Words whose hashes one worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 1_000_000
 _MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
@@ -166,41 +167,81 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cell_links(cell: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
-    """A forest of the links between the asking rows of a cell and all its rows."""
-    cell = cell.sort_values("asks", ascending=False).reset_index(drop=True)
-    asking = int(cell["asks"].sum())
-    sizes = np.array([len(x) for x in cell["items"]])
-    if not asking or asking == len(cell):
-        return []
-    row = np.repeat(np.arange(len(cell)), sizes)
-    _, column, counts = np.unique(np.concatenate(cell["items"].to_numpy()), return_inverse=True, return_counts=True)
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set on the left has in common with each on the right."""
+    sizes = np.array([len(x) for x in (*left, *right)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, counts = np.unique(np.concatenate((*left, *right)), return_inverse=True, return_counts=True)
     several = counts[column] > 1
     row, column = row[several], np.unique(column[several], return_inverse=True)[1]
-    common = np.zeros((asking, len(cell) - asking), dtype=np.float32)
-    # Columns in portions, so that the matrix stays small for long texts.
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    # Columns in portions, so that the matrix stays small for long texts; counts below 2^24 are exact.
     for low in range(0, int(column.max(initial=-1)) + 1, 4096):
         chosen = (column >= low) & (column < low + 4096)
-        held = np.zeros((len(cell), 4096), dtype=np.float32)
+        held = np.zeros((len(sizes), 4096), dtype=np.float32)
         held[row[chosen], column[chosen] - low] = 1
-        common += held[:asking] @ held[asking:].T
-    common = common.astype(np.int64)
-    both = sizes[:asking, None] + sizes[None, asking:] - common
-    nodes, labels = cell["node"].tolist(), cell["label"].tolist()
-    parent: dict[bytes, bytes] = {}
+        common += held[: len(left)] @ held[len(left) :].T
+    return common.astype(np.int64)
 
-    def root(x: bytes) -> bytes:
+
+def forest(found: list[tuple[int, int]], labels: list) -> list[tuple[int, int]]:
+    """The pairs that connect something new, where equal labels are connected from the start."""
+    parent: dict = {}
+
+    def root(x):
         while x in parent:
             x = parent[x]
         return x
 
-    links = []
-    for i, j in zip(*np.nonzero(common * 100 >= both * percent)):
-        x, y = root(labels[i]), root(labels[asking + j])
+    out = []
+    for i, j in found:
+        x, y = root(labels[i]), root(labels[j])
         if x != y:
             parent[max(x, y)] = min(x, y)
-            links.append((nodes[i], nodes[asking + j]))
-    return links
+            out.append((i, j))
+    return out
+
+
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _linked_sets(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    if len(left) == len(right) == 1:
+        common = np.array([[len(np.intersect1d(left[0], right[0], assume_unique=True))]])
+    else:
+        common = shared_counts(left, right)
+    both = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - common
+    return [(int(i), int(j)) for i, j in zip(*np.nonzero(common * 100 >= both * percent))]
+
+
+def _numpy_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False) for x in column.combine_chunks()]
+
+
+def family_links(family: pa.Table, percent: int) -> pa.Table:
+    """A forest of the links between all rows (node, items) of a small family."""
+    nodes, sets = family["node"].to_pylist(), _numpy_sets(family["items"])
+    if len(sets) == 2:
+        found = [(0, 1)] if _linked_sets(sets[:1], sets[1:], percent) else []
+    else:
+        found = [(i, j) for i, j in _linked_sets(sets, sets, percent) if i < j]
+    links = forest(found, list(range(len(nodes))))
+    return pa.table([[nodes[i] for i, _ in links], [nodes[j] for _, j in links]], schema=_LINKS)
+
+
+def cell_links(cell: pa.Table, percent: int) -> pa.Table:
+    """A forest of the links between the asking rows of a cell and its other rows (asks, node, label, items)."""
+    asks = cell["asks"].to_pylist()
+    order = [i for i, a in enumerate(asks) if a] + [i for i, a in enumerate(asks) if not a]
+    asking = sum(asks)
+    links: list[tuple[int, int]] = []
+    nodes, labels = cell["node"].to_pylist(), cell["label"].to_pylist()
+    if 0 < asking < len(order):
+        sets = _numpy_sets(cell["items"])
+        left, right = [sets[i] for i in order[:asking]], [sets[i] for i in order[asking:]]
+        found = [(order[i], order[asking + j]) for i, j in _linked_sets(left, right, percent)]
+        links = forest(found, labels)
+    return pa.table([[nodes[i] for i, _ in links], [nodes[j] for _, j in links]], schema=_LINKS)
 
 
 class _Search:
@@ -211,40 +252,83 @@ class _Search:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.rows, self.total = counted(_sets(self.docs, similarity, whole=False), "prefixes")
 
-    def classes(self) -> DataFrame:
-        """One row per distinct set: node, n, first_id, size, items."""
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        """One row per distinct set (node, n, first_id, size), and the rows that stand for the classes."""
         rows = self.rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-        return rows.groupBy("node").agg(
-            F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("items").alias("items")
+        classes = written(
+            rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n")), "classes"
         )
-
-    def adaptive(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The classes that show enough shared elements, and their postings (token, node)."""
-        # 64 bits are enough here: two classes taken for one can only look more alike.
-        postings = classes.select(F.xxhash64("node").alias("rep"), F.posexplode("items").alias("pos", "token"))
+        # The copies are dropped rather than the first ones looked up: they are few, and the sets stay where they are.
+        several = classes.filter("size > 1").select("node", "first_id", "size")
+        copies = join_answers(rows.select("doc_id", "node"), several, "node", "size", self.total).filter("doc_id <> first_id")
+        copies, count = counted(copies.select("doc_id", "node").distinct(), "copies")
+        return classes, rows.join(small_side(copies, count), ["doc_id", "node"], "left_anti")
+
+    def adaptive(self, firsts: DataFrame) -> DataFrame:
+        """The classes that show enough shared elements: rep, node, n, doc_id, matches, tokens."""
+        # 64 bits are enough to tell classes apart here: two taken for one can only look more alike.
+        rep = F.xxhash64("node").alias("rep")
+        postings = firsts.select(rep, F.posexplode("items").alias("pos", "token"))
         shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         live = postings.join(shared, "token")
         facts = live.groupBy("rep").agg(F.collect_list(F.struct("pos", "df", "token")).alias("live"))
         d = self.similarity.missing(F.col("n"))
-        facts = classes.select("node", "n", "first_id", F.xxhash64("node").alias("rep"), d.alias("d")).join(facts, "rep")
+        facts = firsts.select("node", "n", "doc_id", rep, d.alias("d")).join(facts, "rep")
         # Postings that the plain prefix would probe.
         cost = F.aggregate("live", F.lit(0).cast("long"), lambda s, p: s + F.when(p["pos"] <= F.col("d"), p["df"] - 1).otherwise(0))
         matches = F.least(self.similarity.most_matches(F.col("n"), F.col("d")).cast("long"), cost + 1)
         facts = facts.withColumn("matches", matches)
         facts = facts.withColumn("live", F.filter("live", lambda p: p["pos"] < F.col("d") + F.col("matches")))
-        kept = written(facts.filter(F.size("live") >= F.col("matches")).select("node", "n", "d", "first_id", "live.token"), "candidates")
-        return kept.select("node", "n", "d", "first_id"), kept.select("node", "n", F.explode("token").alias("token"))
+        enough = facts.filter(F.size("live") >= F.col("matches"))
+        return written(enough.select("rep", "node", "n", "doc_id", "matches", F.col("live.token").alias("tokens")), "candidates")
 
     def whole_sets(self, kept: DataFrame) -> DataFrame:
-        """node, n, items (the whole set) of the candidates."""
-        ids, rows = counted(kept.select(F.col("first_id").alias("doc_id"), "node"), "candidate-ids")
+        """rep, node, n, items (the whole set) of the candidates."""
+        ids, rows = counted(kept.select("doc_id", "node", "rep"), "candidate-ids")
         texts = self.docs.join(small_side(ids.select("doc_id"), rows), "doc_id", "left_semi")
         sets = _sets(texts, self.similarity, whole=True)
-        # Rows that repeat an id bring other texts along.
-        return written(sets.join(small_side(ids, rows), ["doc_id", "node"]).dropDuplicates(["node"]), "sets").select("node", "n", "items")
+        # Rows that repeat an id may bring other texts along; a set that comes twice changes no result.
+        return written(sets.join(small_side(ids, rows), ["doc_id", "node"]).select("rep", "node", "n", "items"), "sets")
+
+    def lists(self, kept: DataFrame) -> DataFrame:
+        """token, rep, n, matches, members: the lists with at least two members."""
+        rows = kept.select("rep", "n", "matches", F.explode("tokens").alias("token"))
+        sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        return written(rows.join(sizes, "token"), "lists")
+
+    def short_pairs(self, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of candidates that may be linked and meet in a short list, and the dense candidates."""
+        longer = lists.filter(F.col("members") > LONG_LIST).groupBy("rep").agg(F.count(F.lit(1)).alias("longer"), F.first("matches").alias("matches"))
+        longer = written(longer, "in-long-lists")
+        short = lists.filter(F.col("members") <= LONG_LIST).select("token", "rep", "n", "matches")
+        other = short.select("token", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "matches")])
+        met = short.join(other, "token").filter((F.col("rep") < F.col("o_rep")) & self.similarity.similar_sizes(F.col("n"), F.col("o_n")))
+        met = met.groupBy(F.col("rep").alias("a"), F.col("o_rep").alias("b")).agg(
+            F.count(F.lit(1)).alias("met"), F.first(F.least("matches", "o_matches")).alias("needed")
+        )
+        met = written(met, "met")
+        beside = longer.select(F.col("rep").alias("a"), F.col("longer").alias("a_longer"))
+        met = met.join(beside, "a", "left").join(beside.toDF("b", "b_longer"), "b", "left")
+        hidden = F.least(F.coalesce("a_longer", F.lit(0)), F.coalesce("b_longer", F.lit(0)))
+        return written(met.filter(F.col("met") + hidden >= F.col("needed")).select("a", "b"), "pairs"), longer.filter("longer >= matches").select("rep")
+
+    def families(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links among the pairs: families of at most a block in one task each, larger ones pair by pair."""
+        family = components(pairs).select(F.col("node").alias("rep"), F.col("label").alias("family"))
+        named = sets.select("rep", "node", "n")
+        sizes = family.join(named, "rep").groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"))
+        one_task = (F.col("members") <= BLOCK) & (F.col("elements") <= BLOCK_ELEMENTS)
+        family = written(family.join(sizes.select("family", one_task.alias("one_task")), "family"), "families")
+        percent = self.similarity.percent
+        small = family.filter("one_task").join(sets, "rep").select("family", "node", "items")
+        together = small.groupBy("family").applyInArrow(lambda t: family_links(t, percent), "a binary, b binary")
+        large = family.filter("NOT one_task").select(F.col("rep").alias("a"))
+        named = named.select("rep", "node")
+        apart = pairs.join(large, "a", "left_semi").join(named.toDF("a", "node_a"), "a").join(named.toDF("b", "node_b"), "b")
+        return written(together, "family-links").union(self.verified(apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sets))
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked."""
+        """The pairs (a, b) of nodes that are linked."""
         left = sets.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("items").alias("of_a"))
         right = sets.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("items").alias("of_b"))
         common = F.size(F.array_intersect("of_a", "of_b"))
@@ -258,9 +342,9 @@ class _Search:
         apart = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
         return written_counting(own.join(apart.select("token"), "token"), "mixed", F.lit(True))
 
-    def stars(self, lists: DataFrame, sets: DataFrame, links: DataFrame | None, labels: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-        """Rounds of pivots; returns the lists still mixed when the last round began, links and labels."""
-        for round_ in range(rounds):
+    def stars(self, lists: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rounds of pivots; returns links and labels."""
+        for round_ in range(PIVOT_ROUNDS):
             lists, rows = self.mixed(lists, labels)
             if not rows:
                 break
@@ -268,17 +352,14 @@ class _Search:
             pivots = lists.groupBy("token").agg(F.min(order).alias("pivot"))
             met = lists.join(pivots, "token").select(F.col("pivot.a").alias("p"), F.col("pivot.of").alias("of"), F.col("pivot.an").alias("an"), "node", "n", "label")
             met = met.filter((F.col("of") != F.col("label")) & self.similarity.similar_sizes(F.col("an"), F.col("n")))
-            pairs = met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
-            found = self.verified(pairs, sets)
-            links = found if links is None else links.union(found)
+            links = links.union(self.verified(met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")), sets))
             labels = components(links)
-            lists = lists.select("token", "node", "n")
-        return lists, links, labels
+        return links, labels
 
-    def rare_first(self, lists: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Lists (token, node, n) of the plain prefixes in order of rising frequency among the nodes of
-        ``lists``, and for each node the number of its elements that others have too."""
-        items = sets.join(lists.select("node").distinct(), "node").select("node", "n", F.explode("items").alias("token"))
+    def rare_first(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Lists (token, node, n) of the plain prefixes in order of rising frequency among ``sets``, and for
+        each node the number of its elements that others have too."""
+        items = sets.select("node", "n", F.explode("items").alias("token"))
         frequent = items.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         shared = items.join(frequent, "token")
         # Elements that no other has come first in the order, and fill the prefix by themselves.
@@ -295,10 +376,12 @@ class _Search:
         if not rows:
             return None
         lists = lists.join(commons, "node")
-        by_label = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("held"))
+        by_label = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("widest"))
         most = F.max(F.struct("held", "label")).alias("most")
-        sizes = written(by_label.groupBy("token").agg(F.sum("held").alias("members"), most), "list-sizes")
-        sizes = sizes.select("token", "members", F.col("most.label").alias("main"), (F.col("members") - F.col("most.held")).alias("outside"))
+        sizes = by_label.groupBy("token").agg(F.sum("held").alias("members"), most, F.max("widest").alias("widest"))
+        block = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_ELEMENTS) / F.col("widest"))))
+        sizes = sizes.select("token", "members", block.alias("block_size"), F.col("most.label").alias("main"), (F.col("members") - F.col("most.held")).alias("outside"))
+        sizes = written(sizes, "list-sizes")
         lists = written(lists.join(sizes, "token"), "sized-lists")
         short = lists.filter(F.col("members") <= LONG_LIST).select("token", "node", "n", "label", "common")
         other = short.select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "label", "common")])
@@ -312,7 +395,7 @@ class _Search:
         """Links between the members of a long list outside its main component and all its members."""
 
         def blocks(rows: Column) -> Column:
-            return F.ceil(rows / BLOCK).cast("int")
+            return F.ceil(rows / F.col("block_size")).cast("int")
 
         def every(count: Column) -> Column:
             return F.sequence(F.lit(0), count - 1)
@@ -339,23 +422,21 @@ class _Search:
             "items",
         )
         percent = self.similarity.percent
-
-        def run(cell: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(cell_links(cell, percent), columns=["a", "b"])
-
-        return member.union(outside).groupBy("token", "block", "chunk").applyInPandas(run, "a binary, b binary")
+        cells = member.union(outside).groupBy("token", "block", "chunk")
+        return cells.applyInArrow(lambda t: cell_links(t, percent), "a binary, b binary")
 
     def run(self) -> DataFrame:
-        classes = written(self.classes(), "classes")
-        kept, lists = self.adaptive(classes)
+        classes, firsts = self.classes()
+        kept = self.adaptive(firsts)
         sets = self.whole_sets(kept)
-        nobody = kept.select("node", F.col("node").alias("label")).limit(0)
-        lists, links, labels = self.stars(lists, sets, None, nobody, FIRST_ROUNDS)
-        lists, rows = self.mixed(lists, labels)
-        if rows:
-            lists, commons = self.rare_first(lists, sets)
-            lists, links, labels = self.stars(lists, sets, links, labels, MORE_ROUNDS)
-            more = self.rest(lists, commons, sets, labels)
+        pairs, dense = self.short_pairs(self.lists(kept))
+        links = self.families(pairs, sets)
+        labels = components(links)
+        if not dense.isEmpty():
+            dense_sets = written(sets.join(dense, "rep", "left_semi"), "dense-sets")
+            lists, commons = self.rare_first(dense_sets)
+            links, labels = self.stars(lists, dense_sets, links, labels)
+            more = self.rest(lists, commons, dense_sets, labels)
             if more is not None:
                 labels = components(links.union(more))
         # Per component the smallest id, and per class its component.

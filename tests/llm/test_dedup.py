@@ -99,6 +99,7 @@ def test_families_passages_and_lists_longer_than_a_block(spark, similarity, monk
     # Small bounds, so that long lists and several cells occur.
     monkeypatch.setattr(adaptive_join, "LONG_LIST", 5)
     monkeypatch.setattr(adaptive_join, "BLOCK", 8)
+    monkeypatch.setattr(adaptive_join, "BLOCK_ELEMENTS", 3_000)
     passage = prose(99, 60)
     texts = []
     for family in range(6):
