@@ -45,7 +45,7 @@ from skylane.llm.common import counted, join_answers
 from skylane.session import small_side, written, written_counting
 
 # Rounds of pivots over the lists of dense candidates.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 # Lists longer than this are not paired off; those of dense candidates are cut into cells of about two blocks.
 LONG_LIST = 64
 # Members that meet in one task: so many sets at most, and about so many elements.
@@ -329,10 +329,14 @@ class _Search:
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes that are linked."""
-        left = sets.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("items").alias("of_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("items").alias("of_b"))
+        pairs, _ = counted(pairs.select("a", "b").distinct(), "asked-pairs")
+        nodes, rows = counted(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), "asked-nodes")
+        # Sets that no pair asks for stay where they are.
+        asked = sets.join(small_side(nodes, rows), "node", "left_semi")
+        left = asked.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("items").alias("of_a"))
+        right = asked.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("items").alias("of_b"))
         common = F.size(F.array_intersect("of_a", "of_b"))
-        joined = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+        joined = pairs.join(left, "a").join(right, "b")
         return written(joined.filter(self.similarity.linked(common, F.col("an"), F.col("bn"))).select("a", "b"), "links")
 
     def mixed(self, lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
