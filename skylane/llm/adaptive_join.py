@@ -380,11 +380,11 @@ class _Search:
         if not rows:
             return None
         lists = lists.join(commons, "node")
-        by_label = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("widest"))
+        by_label = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("widest"), F.min("n").alias("least"))
         most = F.max(F.struct("held", "label")).alias("most")
-        sizes = by_label.groupBy("token").agg(F.sum("held").alias("members"), most, F.max("widest").alias("widest"))
+        sizes = by_label.groupBy("token").agg(F.sum("held").alias("members"), most, F.max("widest").alias("widest"), F.min("least").alias("least"))
         block = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_ELEMENTS) / F.col("widest"))))
-        sizes = sizes.select("token", "members", block.alias("block_size"), F.col("most.label").alias("main"), (F.col("members") - F.col("most.held")).alias("outside"))
+        sizes = sizes.select("token", "members", "least", block.alias("block_size"), F.col("most.label").alias("main"), (F.col("members") - F.col("most.held")).alias("outside"))
         sizes = written(sizes, "list-sizes")
         lists = written(lists.join(sizes, "token"), "sized-lists")
         short = lists.filter(F.col("members") <= LONG_LIST).select("token", "node", "n", "label", "common")
@@ -404,8 +404,10 @@ class _Search:
         def every(count: Column) -> Column:
             return F.sequence(F.lit(0), count - 1)
 
-        # A node that could not be linked even if it shared all its common elements is out.
-        able = lists.filter(self.similarity.linked(F.col("common"), F.col("n"), F.col("n"))).join(sets.select("node", "items"), "node")
+        # A node is out if it could not be linked even with all its common elements shared. The best partner has
+        # nothing else, so it may be smaller than the node, but not smaller than the list's smallest member.
+        partner = F.greatest("common", "least")
+        able = lists.filter(self.similarity.linked(F.col("common"), F.col("n"), partner)).join(sets.select("node", "items"), "node")
         place = F.xxhash64("node")
         member = able.select(
             "token",

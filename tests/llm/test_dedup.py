@@ -111,6 +111,19 @@ def test_families_passages_and_lists_longer_than_a_block(spark, similarity, monk
     assert collected(adaptive_join.similarity_classes(table(spark, rows), similarity)) == brute_classes(rows, similarity)
 
 
+@pytest.mark.parametrize("similarity, tails", [(Similarity(3, 90), (6, 10)), (Similarity(5, 80), (13, 24))], ids=str)
+def test_long_lists_of_one_base_with_own_tails(spark, similarity, tails):
+    # Each text is linked with the bare base, which is smaller, and with no other text.
+    rows = []
+    for group in range(3):
+        base = prose(300 + group, 100 + similarity.words - 1)
+        texts = [base] + [f"{base} {prose(10_000 * (group + 1) + j, tails[0] + j % (tails[1] - tails[0] + 1))}" for j in range(adaptive_join.LONG_LIST + 20)]
+        rows += [(1_000 * group + j, t) for j, t in enumerate(texts)]
+    expected = brute_classes(rows, similarity)
+    assert {c for _, _, c in expected} == {0, 1_000, 2_000}
+    assert collected(adaptive_join.similarity_classes(table(spark, rows), similarity)) == expected
+
+
 def test_nothing_to_link(spark):
     assert adaptive_join.similarity_classes(empty(spark), Similarity(3, 90)).collect() == []
     rows = [(1, "a b c d"), (2, "e f g h")]
