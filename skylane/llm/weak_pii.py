@@ -198,7 +198,8 @@ KINDS = (
     ),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
-_SPAN = "struct<start:int,end:int,rank:int,kind:string,votes:string>"
+# Sorted spans are in order of their starts, then of their kinds as listed.
+_SPAN = "struct<start:int,rank:int,end:int,kind:string,votes:string>"
 
 
 def _vote(test: Column | None) -> Column:
@@ -220,7 +221,7 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
             F.when(before.rlike(_CONTEXT[kind.name]), "1").otherwise("-"),
             _vote(kind.checksum(x["match"])),
         )
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), votes.alias("votes"))
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), votes.alias("votes"))
         spans = F.when(kind.passes(x["match"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         moved = F.struct(end.alias("at"), spans.alias("spans")).cast(step)
         return F.when(x["match"].isNull(), acc).otherwise(moved)

@@ -74,6 +74,15 @@ def test_base_spans_equal_plain_patterns(spark):
     assert weak_pii.scan(empty(spark)).collect() == []
 
 
+def test_spans_of_one_start_follow_the_order_of_kinds(spark):
+    rows = [(1, "+14155552671@sms.example.com"), (2, "192.168.0.1@host.com"), (3, "4111111111111111@x.org")]
+    found = {r.doc_id: r for r in weak_pii.scan(table(spark, rows)).collect()}
+    assert found[1].spans == "email:0:28,phone:0:12"
+    for key, text in rows:
+        spans = shown(base_spans(text))
+        assert (found[key].spans, found[key].base_sha256) == (spans, hashlib.sha256(spans.encode()).hexdigest())
+
+
 def test_patterns_stay_linear_on_hostile_text(spark):
     text = "a" * 50_000 + "@b.c" + " 1" * 15_000 + "1" * 50_000 + "a@" + "b." * 20_000 + "c +1 " + "(" * 30_000 + "2" + "1." * 30_000
     row = weak_pii.scan(table(spark, [(1, text)])).first()
