@@ -5,8 +5,9 @@ characters the stretches of a candidate that lie inside the class are walked by
 characters; its entropy is kept by adding and removing one count at a time, since
 H = log2(w) - sum(c log2 c) / w. Windows at or above the class's threshold are merged into spans. Spans
 that look like known harmless strings are suppressed: words (no digit, or almost none), numbers, sequences
-of the alphabet, identifiers such as UUIDs, and paths. Spans that a fixed pattern has found already are
-not reported twice.
+of the alphabet, identifiers such as UUIDs, and paths. Where a span is suppressed, what is left of it beside
+its words and sequences is judged again by itself, so that a key does not go with harmless text around it.
+Spans that a fixed pattern has found already are not reported twice.
 
 Defined results: a null text counts as empty and has no spans; rows with null or repeated ids are
 answered one by one; an empty table gives no rows. Positions are code points, the end exclusive. Other
@@ -46,6 +47,12 @@ _ALLOWED = [
     re.compile(r"(?:/[A-Za-z0-9_.-]{1,15}){2,}/?"),  # paths of short parts
 ]
 _SEQUENCES = ("abcdefghijklmnopqrstuvwxyz", "0123456789")
+_IN_SEQUENCE = re.compile(f"(?i)(?=(?:{'|'.join(s[i : i + 8] for s in _SEQUENCES for i in range(len(s) - 7))}))")
+_SEPARATORS = "/_=+-"
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+_CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,})+")
+# Neighbouring words are harmless from so many characters on; shorter ones may be parts of a key with separators.
+WORDS_FROM = 8
 _SHARE = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
 
 
@@ -77,10 +84,15 @@ def hot_windows(text: str, letters: frozenset[str], least: float, window: int =
     return spans
 
 
+def _shares(found: str) -> tuple[int, int]:
+    """How many digits the string has, and how many changes between upper and lower case."""
+    digits = sum(c.isdigit() for c in found)
+    return digits, sum(a.isupper() != b.isupper() for a, b in zip(found, found[1:]) if a.isalpha() and b.isalpha())
+
+
 def allowed(found: str) -> bool:
     """Whether the string is on the allow-list."""
-    digits = sum(c.isdigit() for c in found)
-    turns = sum(a.isupper() != b.isupper() for a, b in zip(found, found[1:]) if a.isalpha() and b.isalpha())
+    digits, turns = _shares(found)
     if digits in (0, len(found)) or (digits * 10 < len(found) and turns * 5 < len(found)):
         return True  # words, with a few digits at most, or a number
     lower = found.lower()
@@ -89,6 +101,72 @@ def allowed(found: str) -> bool:
     return any(p.fullmatch(found) for p in _ALLOWED)
 
 
+def _is_word(piece: str) -> bool:
+    digits, turns = _shares(piece)
+    # A long piece with digits may be a word and a key without a separator.
+    if digits and len(piece) >= WINDOW:
+        return False
+    return digits * 10 < len(piece) and (turns * 5 < len(piece) or bool(_CAMEL.fullmatch(piece)))
+
+
+def remainders(found: str) -> list[tuple[int, int]]:
+    """The stretches of the string beside its sequences and its neighbouring words, with the separators next to these."""
+    harmless: list[tuple[int, int]] = []
+    for m in _IN_SEQUENCE.finditer(found):
+        if harmless and m.start() <= harmless[-1][1]:
+            harmless[-1] = (harmless[-1][0], m.start() + 8)
+        else:
+            harmless.append((m.start(), m.start() + 8))
+    words: list[tuple[int, int]] = []
+    joined = False
+    for m in _PIECE.finditer(found):
+        if not _is_word(m[0]):
+            joined = False
+            continue
+        a, b = max(m.start() - 1, 0), min(m.end() + 1, len(found))
+        if joined:
+            words[-1] = (words[-1][0], b)
+        else:
+            words.append((a, b))
+        joined = True
+    out, done = [], 0
+    for a, b in sorted(harmless + [(a, b) for a, b in words if b - a >= WORDS_FROM]):
+        if a > done:
+            out.append((done, a))
+        done = max(done, b)
+    return out + [(done, len(found))] * (done < len(found))
+
+
+def keys_beside_words(found: str, letters: frozenset[str], least: float) -> list[tuple[int, int]]:
+    """The parts of a merged span on the allow-list that would not be on it by themselves."""
+    out = []
+    for begin, end in remainders(found):
+        for a, b in hot_windows(found[begin:end], letters, least):
+            a, b = begin + a, begin + b
+            if not allowed(found[a:b].strip(_SEPARATORS)):
+                out.append((a, b))
+                continue
+            # Without separators the windows themselves tell a key from the letters around it.
+            for m in _PIECE.finditer(found, a, b):
+                for c, d in _hot_keys(m[0], letters, least):
+                    out.append((m.start() + c, m.start() + d))
+    return out
+
+
+def _hot_keys(piece: str, letters: frozenset[str], least: float) -> list[tuple[int, int]]:
+    """Merged spans of the hot windows that are not on the allow-list."""
+    spans: list[tuple[int, int]] = []
+    for a, b in hot_windows(piece, letters, least):
+        for i in range(a, b - WINDOW + 1):
+            window = piece[i : i + WINDOW]
+            if not allowed(window) and hot_windows(window, letters, least):
+                if spans and i <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], i + WINDOW)
+                else:
+                    spans.append((i, i + WINDOW))
+    return spans
+
+
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The fixed patterns' spans and those added by entropy, as (start, end, kind)."""
     base: list[tuple[int, int, str]] = []
@@ -101,11 +179,20 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
         base += [(at + x.start(), at + x.end(), "access") for x in _ACCESS.finditer(run) if x.end() - x.start() >= 20]
         base += [(at + x.start(), at + x.end(), "hex") for x in _HEX.finditer(run) if x.end() - x.start() >= 24]
         taken: list[tuple[int, int]] = []
+        parts: list[tuple[int, int, str]] = []
         for kind, (letters, least) in CLASSES.items():
             for a, b in hot_windows(run, letters, least):
-                if not any(a < d and c < b for c, d in taken) and not allowed(run[a:b]):
+                if any(a < d and c < b for c, d in taken):
+                    continue
+                if allowed(run[a:b]):
+                    parts += [(a + c, a + d, kind) for c, d in keys_beside_words(run[a:b], letters, least)]
+                else:
                     taken.append((a, b))
                     added.append((at + a, at + b, kind))
+        for a, b, kind in parts:
+            if not any(c <= a and b <= d for c, d in taken):
+                taken.append((a, b))
+                added.append((at + a, at + b, kind))
     base.sort(key=lambda s: (s[0], _BASE_KINDS.index(s[2])))
     return base, [s for s in added if not _covered(s, base)]
 

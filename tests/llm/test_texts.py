@@ -245,6 +245,21 @@ def test_random_keys_are_found_and_harmless_strings_are_not():
         assert entropy_secrets.spans_of(text) == ([], []), text
 
 
+def test_keys_are_found_beside_harmless_text():
+    key = "xK4bQ9mTzR2wLp7vGc3h"
+    path = "/services/incoming/webhooks/marketing-department/european-customers/newsletter-campaign"
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = "schachchsschpfheitschverheitenundnochvielmehrbuchstabenohnetrennungdanach"
+    assert entropy_secrets.spans_of(path) == entropy_secrets.spans_of(f"{path}/2024/v2") == ([], [])
+    assert entropy_secrets.spans_of(f"{path}/{key}")[1] == [(len(path) + 1, len(path) + 1 + len(key), "entropy_mixed")]
+    camel = "/getUserName/MarketingDepartment/europeanCustomers/NewsletterCampaigns/incomingWebhooks/"
+    for text in (f"{path}/{key}", f"{key}{path}", f"{path}/{key}{path}", alphabet + key, key + "/" + alphabet, f"{path}-{key}_{alphabet}", words + key, key + words, camel + key):
+        base, added = entropy_secrets.spans_of(text)
+        at = text.index(key)
+        assert base == [] and any(a <= at and at + len(key) <= b for a, b, _ in added), text
+        assert key not in entropy_secrets.without(text) and "[SECRET]" in entropy_secrets.without(text)
+
+
 def test_redaction_keeps_rows_and_clean_texts(spark):
     rows = [(1, "token = abcdef123456 tail", 25), (2, None, None), (3, "clean text", 10), (3, "clean text", 10), (4, "a" * 30 + " é " + "0f" * 15, 63)]
     docs = table(spark, rows, "doc_id long, text string, n_chars long")
