@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ LONGEST_ROW = 128
 REMEMBERED = 600_000
 # Characters of text whose unknown words are merged together.
 _TOGETHER = 4_000_000
+_CUT = re.compile(r"(?<!\s) ")
 _NONE = np.iinfo(np.int64).max
 _loaded: dict[tuple[str, str], MatrixBpe] = {}
 
@@ -171,12 +173,13 @@ class MatrixBpe:
     def chunks(self, text: str) -> list[str]:
         """Parts that the pattern would never match across; each is cut by the pattern when it is new.
 
-        A single blank between other characters always starts a new match, so texts are cut before
-        their blanks. With two blanks in a row this would not hold, such a text stays whole.
+        A single blank between characters that are not white space always starts a new match, so texts are
+        cut before such blanks. After other white space this would not hold, such parts stay together. With
+        two blanks in a row the text stays whole.
         """
         if "  " in text:
             return [text]
-        head, *rest = text.split(" ")
+        head, *rest = _CUT.split(text)
         return ([head] if head else []) + [" " + c for c in rest]
 
     def encode(self, texts: list[str]) -> list[list[int]]:

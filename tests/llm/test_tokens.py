@@ -57,6 +57,13 @@ def test_matrix_bpe_equals_tiktoken():
         assert bpe.decode(ids) == text.encode()
 
 
+def test_chunks_are_cut_where_the_pattern_cuts():
+    bpe = matrix_bpe.load(RANKS, public_tokenizers.PATTERN)
+    blank_lines = ["a\n \nb", "a\t \nb", "a\u3000 \nb", "a\n \n \nb c", " \n a", "a \n \n", "\n b", "a\x1c \nb", " ", "a "]
+    for text in blank_lines + texts():
+        assert [w for c in bpe.chunks(text) for w in bpe.words(c)] == bpe.words(text), text[:60]
+
+
 def test_long_words_merge_alike():
     bpe = matrix_bpe.load(RANKS, public_tokenizers.PATTERN)
     words = [noise(i, 25).encode()[: matrix_bpe.LONGEST_ROW] for i in range(100)]
