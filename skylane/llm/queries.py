@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, path_templates, periodic_runs, quote_links, squares_packing, weak_pii, word_pieces
+from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, path_templates, periodic_runs, phrase_trees, quote_links, squares_packing, weak_pii, word_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,6 +98,11 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.find(table(spark, folder, "documents"))
 
 
+@register(phrase_trees.SQL)
+def op13_phrase_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_trees.collocations(table(spark, folder, "documents"))
+
+
 @register()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
