@@ -306,8 +306,8 @@ s AS (
   FROM u JOIN g x ON x.lang = u.lang AND x.phrase = array_to_string(u.ws[1:u.cut], ' ')
          JOIN g y ON y.lang = u.lang AND y.phrase = array_to_string(u.ws[u.cut + 1:u.k], ' ')
   QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, u.cut) = 1),
-i AS (SELECT lang, ws, f, m, unnest(range(1, k - m + 2)) AS at FROM (SELECT lang, k, ws, f, unnest(range(2, k)) AS m FROM c WHERE k > 2)),
-o AS (SELECT lang, array_to_string(ws[at:at + m - 1], ' ') AS phrase, max(f) AS longest FROM i GROUP BY ALL),
+i AS (SELECT lang, ws, f, m, unnest(range(1, k - m + 2)) AS place FROM (SELECT lang, k, ws, f, unnest(range(2, k)) AS m FROM c WHERE k > 2)),
+o AS (SELECT lang, array_to_string(ws[place:place + m - 1], ' ') AS phrase, max(f) AS longest FROM i GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
 z AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
       FROM s LEFT JOIN o ON o.lang = s.lang AND o.phrase = s.phrase WHERE o.longest IS NULL OR 100 * o.longest < 80 * a)
