@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, matrix_bpe, orc_tokens, path_templates, periodic_runs, phrase_trees, quote_links, squares_packing, weak_pii, word_pieces
+from skylane.llm import adaptive_join, decision_lists, digest_index, entropy_secrets, hamming_join, matrix_bpe, orc_tokens, path_templates, periodic_runs, phrase_trees, quote_links, squares_packing, weak_pii, word_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,6 +93,12 @@ def op5_quote_links(spark: SparkSession, folder: str) -> DataFrame:
     return quote_links.conversations(table(spark, folder, "conversations"))
 
 
+@register(hamming_join.SQL)
+def op11_hamming_join(spark: SparkSession, folder: str) -> DataFrame:
+    signatures = hamming_join.Signatures(adaptive_join.Similarity(words=5, percent=85))
+    return hamming_join.near_copies(table(spark, folder, "documents"), signatures)
+
+
 @register()
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.find(table(spark, folder, "documents"))
