@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ from skylane.functions.text import is_black_hole, is_developer_system, temperatu
 from skylane.operators import celestial, edges, names, spatial
 from skylane.plans.registry import query, r4, r6
 from skylane.plans.sample_map import SHIP_CATALOGUE, SampleMap
+from skylane.session import work_area
 from skylane.sources import datasets, ships, starmap
+from skylane.sources.starmap import read_tables
 
 _SYSTEM_SQL = """
 SELECT id, name, constellation_id, constellation_name, region_id, region_name, CAST(NULL AS DOUBLE) AS security_status,
@@ -223,8 +227,10 @@ def hybrid_edges(m: SampleMap) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE points AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
-                 CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)
+    """WITH RECURSIVE points AS (
+         SELECT vec_id, list_sum(list_transform(embedding[1:21], lambda v: CAST(v AS DOUBLE))) AS x,
+                list_sum(list_transform(embedding[22:42], lambda v: CAST(v AS DOUBLE))) AS y,
+                list_sum(list_transform(embedding[43:], lambda v: CAST(v AS DOUBLE))) AS z FROM embeddings)
        SELECT a.vec_id AS query_id, b.vec_id AS id,
               CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) AS INTEGER) AS rank, round(d, 6) AS distance
        FROM (SELECT a.vec_id, b.vec_id AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)
@@ -232,9 +238,11 @@ def hybrid_edges(m: SampleMap) -> DataFrame:
        JOIN points b ON b.vec_id = a.other QUALIFY rank <= 5""",
 )
 def nearest_vectors(m: SampleMap) -> DataFrame:
-    """Nearest neighbours over real-valued points: the first three coordinates of each embedding."""
+    """Nearest neighbours over real-valued points: the sums of each third of an embedding."""
+    values = F.transform("embedding", lambda v: v.cast("double"))
+    thirds = {"x": F.slice(values, 1, 21), "y": F.slice(values, 22, 21), "z": F.slice(values, F.lit(43), F.greatest(F.size(values) - 42, F.lit(0)))}
     points = m.source("embeddings").select(
-        "vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")]
+        "vec_id", *[F.aggregate(part, F.lit(0.0), lambda s, v: s + v).alias(c) for c, part in thirds.items()]
     )
     found = spatial.nearest(
         points.select(F.col("vec_id").alias("query_id"), "x", "y", "z", F.lit(5).alias("k"),
@@ -347,14 +355,14 @@ def ship_listing(m: SampleMap) -> DataFrame:
 
 @query(
     """SELECT query, name, CAST(row_number() OVER (PARTITION BY query ORDER BY name) AS INTEGER) AS rank
-       FROM (SELECT DISTINCT substr(p_name, 1, 4) AS query FROM part)
+       FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS query FROM part)
        JOIN (SELECT DISTINCT concat(p_name, ' ', p_brand) AS name FROM part) ON contains(lower(name), lower(query))
        QUALIFY rank <= 5""",
 )
 def ship_suggestions(m: SampleMap) -> DataFrame:
     part = m.source("part")
     catalogue = part.select(F.concat_ws(" ", "p_name", "p_brand").alias("name")).distinct()
-    return names.ship_suggestions(part.select(F.substring("p_name", 1, 4).alias("query")), catalogue)
+    return names.ship_suggestions(part.select(F.explode(F.split("p_name", " ")).alias("query")), catalogue)
 
 
 @query(
@@ -387,65 +395,90 @@ def ship_loadouts(m: SampleMap) -> DataFrame:
 
 # --- datasets ------------------------------------------------------------------------------------------------
 
-_ROW_HASH = "CAST(sum(CAST(concat('0x', substr(md5({text}), 1, 12)) AS BIGINT)) AS VARCHAR)"
+# Kinds of the columns of the map's tables, as their fingerprints see them: i whole numbers, d doubles, s texts.
+_KINDS = {
+    "Regions": "regionId i, name s",
+    "Constellations": "constellationId i, name s, regionId i",
+    "SolarSystems": "solarSystemId i, name s, regionId i, constellationId i, centerX d, centerY d, centerZ d, star_temperature d, star_luminosity d",
+    "Jumps": "fromSystemId i, toSystemId i",
+    "Planets": "planetId i, solarSystemId i, name s, centerX d, centerY d, centerZ d",
+    "Moons": "moonId i, planetId i, solarSystemId i, name s, centerX d, centerY d, centerZ d",
+}
+_RAW = {"Regions": "raw_regions", "Constellations": "raw_constellations", "SolarSystems": "raw_systems", "Jumps": "raw_jumps", "Planets": "raw_planets", "Moons": "raw_moons"}
+
+
+def _bits_sql(c: str) -> str:
+    power = f"floor(log2(abs({c})))"
+    exact = f"({power} + CASE WHEN abs({c}) >= pow(2e0, {power} + 1) THEN 1 ELSE 0 END - CASE WHEN abs({c}) < pow(2e0, {power}) THEN 1 ELSE 0 END)"
+    return f"""CASE WHEN isnan({c}) THEN 'nan' WHEN {c} IS NOT NULL THEN concat(CASE WHEN CAST({c} AS VARCHAR) LIKE '-%' THEN '-' ELSE '+' END,
+      CASE WHEN isinf({c}) THEN 'inf' WHEN {c} = 0 THEN '0'
+           ELSE concat(CAST(CAST(greatest({exact}, -1022) AS BIGINT) AS VARCHAR), '.', CAST(CAST(abs({c}) / pow(2e0, greatest({exact}, -1022)) * 4503599627370496e0 AS BIGINT) AS VARCHAR)) END) END"""
+
+
+def _fingerprint_sql(table: str) -> str:
+    fields = []
+    for field in _KINDS[table].split(", "):
+        column, kind = field.split()
+        text = _bits_sql(column) if kind == "d" else f"CAST({column} AS VARCHAR)"
+        fields.append(f"coalesce('{kind}' || CAST(strlen({text}) AS VARCHAR) || ':' || ({text}), '~')")
+    halves = ", '-', ".join(
+        f"CAST(coalesce(sum(CAST(concat('0x', substr(digest, {at}, 16)) AS UBIGINT)), 0) % 18446744073709551616 AS VARCHAR)" for at in (1, 17)
+    )
+    return f"""SELECT '{table}' AS table_name, count(*) AS row_count, concat({halves}) AS fingerprint, 'tag-1' AS release_tag
+        FROM (SELECT md5({" || ".join(fields)}) AS digest FROM {_RAW[table]})"""
 
 
-@query(
-    f"""SELECT 'Jumps' AS table_name, count(*) AS row_count,
-               {_ROW_HASH.format(text="concat_ws('|', fromSystemId, toSystemId)")} AS fingerprint, 'tag-1' AS release_tag FROM raw_jumps
-        UNION ALL
-        SELECT 'Planets', count(*),
-               {_ROW_HASH.format(text="concat_ws('|', planetId, solarSystemId, name, coalesce(CAST(CAST(round(centerX, 4) AS DECIMAL(38, 4)) AS VARCHAR), '~'), '0.0000', '0.0000')")},
-               'tag-1' FROM raw_planets
-        UNION ALL
-        SELECT 'Regions', count(*), {_ROW_HASH.format(text="concat_ws('|', regionId, name)")}, 'tag-1' FROM raw_regions""",
-    ("raw_jumps", "raw_planets", "raw_regions"),
-)
+@query(" UNION ALL ".join(_fingerprint_sql(t) for t in _KINDS), tuple(_RAW.values()))
 def dataset_manifest(m: SampleMap) -> DataFrame:
-    chosen = {name: m.tables[name] for name in ("Jumps", "Planets", "Regions")}
-    return datasets.manifest(chosen, "tag-1")
+    return datasets.manifest(m.tables, "tag-1")
 
 
-def _recorded(current: DataFrame) -> DataFrame:
-    """A manifest as an earlier run might have left it: one table changed, one unhashed, one not recorded."""
-    changed = F.when(F.col("table_name") == "Jumps", F.lit("0")).when(F.col("table_name") == "Regions", F.lit(None)).otherwise(
-        F.col("fingerprint")
-    )
-    kept = current.where("table_name <> 'Moons'").withColumn("fingerprint", changed)
-    gone = current.where("table_name = 'Jumps'").withColumn("table_name", F.lit("Stations"))
-    return kept.unionByName(gone)
+def _recorded(m: SampleMap) -> DataFrame:
+    """The manifest that an earlier run left of an earlier state of the map, read back from storage.
+
+    Then the jumps were fewer and one coordinate was the next double beside today's; moons were not recorded, a table
+    that is gone was, and regions were recorded in the format without fingerprints.
+    """
+    area = f"{work_area(m.spark)}/manifest-{uuid.uuid4().hex}"
+    then = {name: df for name, df in m.tables.items() if name not in ("Moons", "Regions")}
+    then["Jumps"] = then["Jumps"].where("fromSystemId % 2 = 0")
+    moved = F.when(F.col("solarSystemId") == 30000001, F.col("centerX") * (1 + 2.0**-52)).otherwise(F.col("centerX"))
+    then["SolarSystems"] = then["SolarSystems"].withColumn("centerX", moved)
+    then["Stations"] = m.tables["Planets"]
+    datasets.record_manifest(then, f"{area}/recorded", "tag-1")
+    datasets.manifest({"Regions": m.tables["Regions"]}, "tag-1").drop("fingerprint").write.parquet(f"{area}/legacy")
+    return datasets.read_manifest(m.spark, f"{area}/recorded").unionByName(datasets.read_manifest(m.spark, f"{area}/legacy"))
 
 
 @query(
-    """SELECT 'Jumps' AS table_name, 'stale' AS status, count(*) AS expected_rows, count(*) AS actual_rows FROM raw_jumps
+    """SELECT 'Jumps' AS table_name, 'stale' AS status, count(*) FILTER (fromSystemId % 2 = 0) AS expected_rows, count(*) AS actual_rows FROM raw_jumps
        UNION ALL SELECT 'Regions', 'legacy_format', count(*), count(*) FROM raw_regions
+       UNION ALL SELECT 'Constellations', 'fresh', count(*), count(*) FROM raw_constellations
+       UNION ALL SELECT 'SolarSystems', 'stale', count(*), count(*) FROM raw_systems
        UNION ALL SELECT 'Planets', 'fresh', count(*), count(*) FROM raw_planets
        UNION ALL SELECT 'Moons', 'missing', NULL, count(*) FROM raw_moons
-       UNION ALL SELECT 'Stations', 'dataset_missing', count(*), NULL FROM raw_jumps""",
-    ("raw_jumps", "raw_regions", "raw_planets", "raw_moons"),
+       UNION ALL SELECT 'Stations', 'dataset_missing', count(*), NULL FROM raw_planets""",
+    tuple(_RAW.values()),
 )
 def dataset_freshness(m: SampleMap) -> DataFrame:
-    chosen = {name: m.tables[name] for name in ("Jumps", "Planets", "Regions", "Moons")}
-    current = datasets.manifest(chosen, "tag-1")
-    return datasets.freshness(current, _recorded(current), strict=True).select(
-        "table_name", "status", "expected_rows", "actual_rows"
-    )
+    current = datasets.manifest(m.tables, "tag-1")
+    return datasets.freshness(current, _recorded(m), strict=True).select("table_name", "status", "expected_rows", "actual_rows")
 
 
 @query(
-    """SELECT 'Jumps' AS table_name, count(*) AS current_rows, count(*) AS recorded_rows, true AS matches FROM raw_jumps
+    """SELECT 'Jumps' AS table_name, count(*) AS current_rows, count(*) FILTER (fromSystemId % 2 = 0) AS recorded_rows, false AS matches FROM raw_jumps
        UNION ALL SELECT 'Regions', count(*), count(*), true FROM raw_regions
+       UNION ALL SELECT 'Constellations', count(*), count(*), true FROM raw_constellations
+       UNION ALL SELECT 'SolarSystems', count(*), count(*), true FROM raw_systems
        UNION ALL SELECT 'Planets', count(*), count(*), true FROM raw_planets
        UNION ALL SELECT 'Moons', count(*), NULL, false FROM raw_moons
-       UNION ALL SELECT 'Stations', NULL, count(*), false FROM raw_jumps""",
-    ("raw_jumps", "raw_regions", "raw_planets", "raw_moons"),
+       UNION ALL SELECT 'Stations', NULL, count(*), false FROM raw_planets""",
+    tuple(_RAW.values()),
 )
 def fixture_counts(m: SampleMap) -> DataFrame:
-    chosen = {name: m.tables[name] for name in ("Jumps", "Planets", "Regions", "Moons")}
-    current = datasets.manifest(chosen, "tag-1")
-    return datasets.verify_counts(current, _recorded(current)).select(
-        "table_name", "current_rows", "recorded_rows", "matches"
-    )
+    """Row counts and releases of all tables against those an earlier step wrote."""
+    current = datasets.manifest(m.tables, "tag-1")
+    return datasets.verify_counts(current, _recorded(m)).select("table_name", "current_rows", "recorded_rows", "matches")
 
 
 @query(
@@ -461,26 +494,45 @@ def inspect_dataset(m: SampleMap) -> DataFrame:
     return datasets.inspect_rows(m.tables)
 
 
-@query(
-    """WITH RECURSIVE kept AS (SELECT solarSystemId AS id, regionId, constellationId FROM raw_systems WHERE regionId = 2)
-       SELECT 'SolarSystems' AS table_name, count(*) AS row_count FROM kept
-       UNION ALL SELECT 'Jumps', count(*) FROM raw_jumps
-         WHERE fromSystemId IN (SELECT id FROM kept) AND toSystemId IN (SELECT id FROM kept)
-       UNION ALL SELECT 'Regions', count(*) FROM raw_regions WHERE regionId IN (SELECT regionId FROM kept)
-       UNION ALL SELECT 'Constellations', count(*) FROM raw_constellations
-         WHERE constellationId IN (SELECT constellationId FROM kept)
-       UNION ALL SELECT 'Planets', count(*) FROM raw_planets WHERE solarSystemId IN (SELECT id FROM kept)
-       UNION ALL SELECT 'Moons', count(*) FROM raw_moons WHERE solarSystemId IN (SELECT id FROM kept)""",
-    ("raw_systems", "raw_jumps", "raw_regions", "raw_constellations", "raw_planets", "raw_moons"),
-)
+def _subset_sql() -> str:
+    inside = {
+        "SolarSystems": "regionId = 2",
+        "Jumps": "fromSystemId IN (SELECT id FROM kept) AND toSystemId IN (SELECT id FROM kept)",
+        "Regions": "regionId IN (SELECT regionId FROM kept)",
+        "Constellations": "constellationId IN (SELECT constellationId FROM kept)",
+        "Planets": "solarSystemId IN (SELECT id FROM kept)",
+        "Moons": "solarSystemId IN (SELECT id FROM kept)",
+    }
+    parts = []
+    for table, where in inside.items():
+        fields = {k: [f.split()[0] for f in _KINDS[table].split(", ") if f.split()[1] == k] for k in "isd"}
+        row = {
+            "ids": "concat_ws(',', " + ", ".join(fields["i"]) + ")",
+            "name": fields["s"][0] if fields["s"] else "CAST(NULL AS VARCHAR)",
+            "x": "round(centerX / 1e9, 3)" if "centerX" in fields["d"] else "CAST(NULL AS DOUBLE)",
+            "y": "round(centerY / 1e9, 3)" if "centerY" in fields["d"] else "CAST(NULL AS DOUBLE)",
+        }
+        parts.append(f"SELECT '{table}' AS table_name, " + ", ".join(f"{v} AS {k}" for k, v in row.items()) + f" FROM {_RAW[table]} WHERE {where}")
+    return "WITH RECURSIVE kept AS (SELECT solarSystemId AS id, regionId, constellationId FROM raw_systems WHERE regionId = 2) " + " UNION ALL ".join(parts)
+
+
+@query(_subset_sql(), tuple(_RAW.values()))
 def subset_of_region(m: SampleMap) -> DataFrame:
-    """Row counts of the dataset cut down to one region's systems."""
+    """All rows of the dataset cut down to one region's systems, written as a dataset of its own and read back."""
+    area = f"{work_area(m.spark)}/subset-{uuid.uuid4().hex}"
     keep = m.bare_systems.where("region_id = 2").select("id")
-    cut = datasets.subset(m.tables, keep)
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-        for name, df in cut.items()
-    ]
+    datasets.write_tables(datasets.subset(m.tables, keep), area)
+    parts = []
+    for name, df in read_tables(m.spark, area).items():
+        ids = [f.split()[0] for f in _KINDS[name].split(", ") if f.endswith(" i")]
+        columns = {"name": "string", "centerX": "double", "centerY": "double"}
+        held = {c: (F.col(c) if c in df.columns else F.lit(None)).cast(t) for c, t in columns.items()}
+        parts.append(
+            df.select(
+                F.lit(name).alias("table_name"), F.concat_ws(",", *ids).alias("ids"), held["name"].alias("name"),
+                F.round(held["centerX"] / 1e9, 3).alias("x"), F.round(held["centerY"] / 1e9, 3).alias("y"),
+            )
+        )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType, BinaryType, BooleanType, CharType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, StringType,
+    StructType, TimestampNTZType, TimestampType, VarcharType,
+)
 
 from skylane.functions.geometry import cell
 from skylane.sources.starmap import detect_layout, find_table
@@ -44,31 +49,87 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, mode: str = "erro
 
 # --- fingerprints and freshness -------------------------------------------------------------------------
 
+# The states a recorded dataset can be in.
 FRESH, STALE, LEGACY, MISSING, DATASET_MISSING, ERROR = (
     "fresh", "stale", "legacy_format", "missing", "dataset_missing", "error",
 )
 
 
-def _field_text(df: DataFrame, column: str) -> Column:
-    kind = dict(df.dtypes)[column]
-    value = F.col(f"`{column}`")
-    # Doubles print differently in different engines; a fixed decimal form does not.
-    text = F.round(value, 4).cast("decimal(38,4)").cast("string") if kind in ("double", "float") else value.cast("string")
-    return F.coalesce(text, F.lit("~"))
+def exact_bits(value: Column) -> Column:
+    """The 64 bits of a double as two numbers in text, ``exponent.fraction`` after its sign; null stays null.
+
+    Arithmetic only, every step of it exact: powers of two and quotients by them are not rounded.
+    """
+    size = F.abs(value)
+    finite = (size > 0) & (size < F.lit(float("inf"))) & ~F.isnan(value)
+    safe = F.when(finite, size).otherwise(F.lit(1.0))
+    guess = F.floor(F.log2(safe))
+    # A logarithm may be off by one beside a power of two.
+    exact = guess + F.when(safe >= F.pow(F.lit(2.0), guess + 1), 1).otherwise(0) - F.when(safe < F.pow(F.lit(2.0), guess), 1).otherwise(0)
+    exponent = F.greatest(exact, F.lit(-1022))
+    fraction = (safe / F.pow(F.lit(2.0), exponent) * F.lit(2.0**52)).cast("long")
+    shown = (
+        F.when(F.isnan(value), "nan")
+        .when(size == float("inf"), "inf")
+        .when(size == 0, "0")
+        .otherwise(F.concat_ws(".", exponent.cast("string"), fraction.cast("string")))
+    )
+    # A negative zero prints its sign too; not-a-number has none.
+    sign = F.when(value.cast("string").startswith("-"), "-").otherwise("+")
+    return F.when(value.isNotNull(), F.when(F.isnan(value), shown).otherwise(F.concat(sign, shown)))
+
+
+def _sized(kind: str, text: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(kind), F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+
+
+def rendered(value: Column, kind: DataType) -> Column:
+    """A value as text that no other value of any type shares: its kind, its length in bytes, its content.
+
+    Null is ``~``. Lists and records are rendered from their parts, so their borders are in the text too.
+    """
+    if isinstance(kind, (FloatType, DoubleType)):
+        return _sized("d", exact_bits(value.cast("double")))
+    if isinstance(kind, IntegralType):
+        return _sized("i", value.cast("string"))
+    if isinstance(kind, DecimalType):
+        return _sized("n", value.cast(f"decimal(38,{kind.scale})").cast("string"))
+    if isinstance(kind, (StringType, VarcharType, CharType)):
+        return _sized("s", value)
+    if isinstance(kind, BooleanType):
+        return _sized("b", value.cast("string"))
+    if isinstance(kind, DateType):
+        return _sized("y", F.unix_date(value).cast("string"))
+    if isinstance(kind, TimestampType):
+        return _sized("t", F.unix_micros(value).cast("string"))
+    if isinstance(kind, TimestampNTZType):
+        return _sized("z", value.cast("string"))
+    if isinstance(kind, BinaryType):
+        return _sized("x", F.hex(value))
+    if isinstance(kind, ArrayType):
+        return _sized("a", F.array_join(F.transform(value, lambda v: rendered(v, kind.elementType)), ""))
+    if isinstance(kind, StructType):
+        inner = F.concat(*[rendered(value[f.name], f.dataType) for f in kind.fields], F.lit(""))
+        return _sized("r", F.when(value.isNotNull(), inner))
+    raise TypeError(f"no rendering for values of type {kind.simpleString()}")
 
 
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Row count and an order-insensitive fingerprint of a table: the sum of its rows' hashes.
+    """Row count and an order-insensitive fingerprint of a table: the 128-bit sum of its rows' digests.
 
-    Each row gives the first 12 hex digits of the MD5 of its fields; a sum, unlike an exclusive or,
-    does not cancel duplicate rows. Rows never leave their tasks, only partial sums do.
+    A row's digest is the MD5 of its fields' renderings, whole: both halves are summed apart, each modulo 2**64. A sum,
+    unlike an exclusive or, does not cancel repeated rows. Rows never leave their tasks, only partial sums do.
     """
-    columns = columns or df.columns
-    text = F.concat_ws("|", *[_field_text(df, c) for c in columns])
-    number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.select(number.alias("n")).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum("n"), F.lit(0)).cast("decimal(38,0)").cast("string").alias("fingerprint"),
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    digest = F.md5(F.concat(*[rendered(F.col(f"`{c}`"), kinds[c]) for c in columns or df.columns], F.lit("")))
+    halves = [F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)").alias(name) for at, name in ((1, "high"), (17, "low"))]
+
+    def total(name: str) -> Column:
+        # Sums of ten to the 18th rows fit.
+        return (F.coalesce(F.sum(F.col(name).cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)")) % F.lit(Decimal(2**64))).cast("decimal(20,0)").cast("string")
+
+    return df.select(*halves).agg(
+        F.count(F.lit(1)).alias("row_count"), F.concat_ws("-", total("high"), total("low")).alias("fingerprint")
     )
 
 
@@ -84,10 +145,30 @@ def manifest(tables: Mapping[str, DataFrame], release_tag: str | None = None) ->
     return out.withColumn("release_tag", F.lit(release_tag).cast("string"))
 
 
+def record_manifest(tables: Mapping[str, DataFrame], path: str, release_tag: str | None = None) -> None:
+    """Leave the tables' manifest at ``path`` for later runs to compare with."""
+    manifest(tables, release_tag).write.mode("errorifexists").parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest from storage; records of an older format lack columns, which read as null."""
+    held = spark.read.parquet(path)
+    kinds = {"table_name": "string", "row_count": "long", "fingerprint": "string", "release_tag": "string"}
+    return held.select(*[(F.col(c) if c in held.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def read_marker(spark: SparkSession, path: str) -> DataFrame:
+    """Marker files, one row (``value``) for each whole file."""
+    return spark.read.text(path, wholetext=True)
+
+
 def release_tag(marker: DataFrame) -> DataFrame:
-    """The tag of the ``resolved=`` line of a marker file read as text (``value``), blank lines ignored."""
-    tag = F.trim(F.regexp_extract("value", r"^resolved=(.*)$", 1))
-    return marker.select(tag.alias("release_tag")).where("release_tag <> ''").limit(1)
+    """The tag of a marker's first ``resolved=`` line that names one, and of several markers the smallest.
+
+    ``value`` holds a whole marker or any part of it with its lines in order, so no order of rows decides.
+    """
+    tag = F.trim(F.regexp_extract("value", r"(?m)^resolved=[ \t]*([^\s][^\r\n]*)$", 1))
+    return marker.select(tag.alias("release_tag")).where("release_tag <> ''").agg(F.min("release_tag").alias("release_tag")).where("release_tag is not null")
 
 
 def freshness(current: DataFrame, recorded: DataFrame, strict: bool = False) -> DataFrame:

@@ -102,9 +102,64 @@ def test_fingerprint_ignores_order_but_not_content(spark):
     assert datasets.fingerprint(a.withColumn("s", F.lit("x"))).first()["fingerprint"] != same["fingerprint"]
 
 
-def test_release_tag(spark):
+def _print(spark, rows, schema):
+    return datasets.fingerprint(spark.createDataFrame(rows, schema)).first()["fingerprint"]
+
+
+def test_fingerprint_tells_apart_what_shares_a_text(spark):
+    two = "a string, b string"
+    assert _print(spark, [("a|b", "c")], two) != _print(spark, [("a", "b|c")], two)
+    assert _print(spark, [("a", "s1:b")], two) != _print(spark, [("as1:b", "")], two)
+    assert _print(spark, [(None, "x")], two) != _print(spark, [("~", "x")], two)
+    assert _print(spark, [("", None)], two) != _print(spark, [(None, "")], two)
+    assert _print(spark, [("1",)], "a string") != _print(spark, [(1,)], "a long")
+    nested = "a array<array<string>>, r struct<x:int,y:int>"
+    assert _print(spark, [([["a"], ["b"]], (1, None))], nested) != _print(spark, [([["a", "b"]], (1, None))], nested)
+    assert _print(spark, [([], (None, None))], nested) != _print(spark, [([], None)], nested)
+    assert _print(spark, [([None], None)], nested) != _print(spark, [([], None)], nested)
+
+
+def test_exact_bits_of_doubles(spark):
+    import math
+    import random
+    import struct
+
+    r = random.Random(4)
+    values = [0.0, -0.0, 1.0, -1.0, 1e-5, 2e-5, 1e36, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, math.inf, -math.inf, math.nan]
+    values += [math.nextafter(2.0**k, s) for k in range(-1060, 1024, 7) for s in (0, math.inf)] + [2.0**k for k in range(-1074, 1024, 5)]
+    values += [v for v in (struct.unpack("d", r.randbytes(8))[0] for _ in range(3_000)) if v == v]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", datasets.exact_bits(F.col("v")).alias("bits")).collect()
+
+    def back(text):
+        if text == "nan":
+            return math.nan
+        size = {"inf": math.inf, "0": 0.0}.get(text[1:])
+        if size is None:
+            e, m = text[1:].split(".")
+            size = math.ldexp(int(m), int(e) - 52)
+        return -size if text[0] == "-" else size
+
+    assert all(struct.pack("d", back(row.bits)) == struct.pack("d", row.v) for row in rows)
+    assert datasets.fingerprint(spark.createDataFrame([(None, 1)], "v double, w long")).first()["row_count"] == 1
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    tables = {"A": spark.range(5).toDF("id"), "B": spark.createDataFrame([], "x double")}
+    datasets.record_manifest(tables, str(tmp_path / "m"), "e6")
+    held = datasets.read_manifest(spark, str(tmp_path / "m"))
+    assert {(r.table_name, r.status) for r in datasets.freshness(datasets.manifest(tables, "e6"), held, strict=True).collect()} == {("A", "fresh"), ("B", "fresh")}
+    other = datasets.manifest({"A": spark.range(4).union(spark.range(1)).toDF("id"), "B": tables["B"]}, "e7")
+    assert {(r.table_name, r.status) for r in datasets.freshness(other, held).collect()} == {("A", "stale"), ("B", "fresh")}
+    assert {r.status for r in datasets.freshness(other, held, strict=True).collect()} == {"stale"}
+
+
+def test_release_tag(spark, tmp_path):
     marker = spark.createDataFrame([("requested=latest",), ("resolved= e6 ",)], "value string")
     assert datasets.release_tag(marker).first()["release_tag"] == "e6"
+    path = tmp_path / "marker"
+    path.write_text("requested=latest\nresolved=\nresolved= e7 c \r\nresolved=e1\n")
+    assert datasets.release_tag(datasets.read_marker(spark, str(path))).first()["release_tag"] == "e7 c"
+    assert datasets.release_tag(spark.createDataFrame([("nothing",)], "value string")).collect() == []
 
 
 def test_spatial_layout_round_trip(spark, tmp_path):
