@@ -13,8 +13,8 @@ pairs practically always.
 3. ``near``: pairs within the radius, as far as they connect something. First each member of a list with one pivot;
    then, in lists whose members are not yet connected, all pairs of short lists, and long ones in cells of two
    blocks, which give connecting pairs only. What is connected is a family; no pair within the radius is outside.
-4. ``links``: the sets are made again from the texts of the families alone (a bounded table of bits holds the
-   others back where they are read, so texts are never shuffled). All pairs of a family of at most ``BLOCK`` sets
+4. ``links``: the sets are made again from the texts of the families alone (a bounded table of bits over ids
+   holds the others back where they are read, so texts are never shuffled). All pairs of a family of at most ``BLOCK`` sets
    are compared in one task. A larger one is compared block by block with eight pivots, then those outside its
    largest component in cells with all members. A link is confirmed on the full sets; cells give connecting links.
 5. Connected components, and the smallest id of each.
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylane.llm import word_pieces
-from skylane.llm.adaptive_join import Similarity, components, forest, shared_counts
+from skylane.llm.adaptive_join import Similarity, components, shared_counts
 from skylane.llm.bit_table import bit_table, holds
 from skylane.llm.common import counted, join_answers
 from skylane.session import written
@@ -50,7 +50,7 @@ from skylane.session import written
 LONG_LIST = 64
 # Members that meet in one task: so many at most, and about so many elements.
 BLOCK = 256
-BLOCK_ELEMENTS = 1_000_000
+BLOCK_ELEMENTS = 400_000
 # Members of a large family that all others are compared with first.
 PIVOTS = 8
 FAMILY_BITS = 26
@@ -134,16 +134,18 @@ def _signed(docs: DataFrame, signatures: Signatures) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, similarity: Similarity, asked: np.ndarray) -> DataFrame:
-    """node, doc_id, items of the documents that the table of bits may hold by node and id."""
+    """node, doc_id, items of the documents whose id the table of bits may hold; no other text is looked at."""
     schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for ids, texts in word_pieces.id_and_text(batches):
-            for key, text in zip(ids, texts):
-                found = similarity.shingles(text) if key is not None else ()
-                if len(found) and holds(asked, np.array([_node(found) ^ key]).view(np.uint64))[0]:
-                    rows.append((_node(found), key, found.view(np.int64)))
+            named = np.array([key is not None for key in ids])
+            hashes = np.array([key or 0 for key in ids], dtype=np.int64).view(np.uint64)
+            for i in np.flatnonzero(named & holds(asked, hashes)) if ids else ():
+                found = similarity.shingles(texts[i])
+                if len(found):
+                    rows.append((_node(found), ids[i], found.view(np.int64)))
                     held += len(found)
                 if held >= BLOCK_ELEMENTS:
                     yield word_pieces.arrow_batch(schema, list(zip(*rows)))
@@ -158,11 +160,24 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, width)
 
 
-def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """The linked ones among (left, right), confirmed on the full sets."""
+def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each set on the left is linked with each on the right, by the full sets."""
     common = shared_counts(left, right)
     both = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - common
-    return [(int(i), int(j)) for i, j in zip(*np.nonzero(common * 100 >= both * percent))]
+    return common * 100 >= both * percent
+
+
+def connecting(labels: np.ndarray, left: np.ndarray, right: np.ndarray, met: Iterator[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest of the pairs (left, right) that ``met`` marks, row by row, where equal labels are connected already."""
+    groups, found = np.unique(labels, return_inverse=True)[1], []
+    for i, row in zip(left, met):
+        partners = right[row]
+        others, first = np.unique(groups[partners], return_index=True)
+        for group, at in zip(others, first):
+            if group != groups[i]:
+                found.append((i, partners[at]))
+                groups[groups == group] = groups[i]
+    return found
 
 
 def _edges(nodes: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
@@ -186,33 +201,33 @@ def families_links(held: pa.Table, percent: int) -> pa.Table:
         members = order[low:high]
         if len(members) > 1:
             own = [sets[i] for i in members]
-            pairs = [(i, j) for i, j in _links(own, own, percent) if i < j]
-            found += [(members[i], members[j]) for i, j in forest(pairs, list(range(len(own))))]
+            places = np.arange(len(members))
+            found += [(members[i], members[j]) for i, j in connecting(places, places, places, _linked(own, own, percent))]
     return _edges(nodes, found)
 
 
+def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    asks = cell["asks"].to_numpy(zero_copy_only=False)
+    return cell["node"].to_numpy(), cell["label"].to_numpy(), np.flatnonzero(asks), np.flatnonzero(~asks)
+
+
 def cell_links(cell: pa.Table, percent: int) -> pa.Table:
     """A forest of the links between the asking rows of a cell and its other ones (asks, node, label, items)."""
-    nodes, labels = cell["node"].to_numpy(), cell["label"].to_pylist()
-    left, right = (np.flatnonzero(cell["asks"].to_numpy(zero_copy_only=False) == side) for side in (True, False))
+    nodes, labels, left, right = _sides(cell)
     if not len(left) or not len(right):
         return _edges(nodes, [])
     sets = _numpy_sets(cell["items"])
-    found = [(left[i], right[j]) for i, j in _links([sets[i] for i in left], [sets[j] for j in right], percent)]
-    return _edges(nodes, forest(found, labels))
+    return _edges(nodes, connecting(labels, left, right, _linked([sets[i] for i in left], [sets[j] for j in right], percent)))
 
 
 def cell_near(cell: pa.Table, width: int, radius: int) -> pa.Table:
     """A forest of the pairs within the radius between asking rows and others (asks, node, label, signature)."""
-    nodes, labels = cell["node"].to_numpy(), cell["label"].to_pylist()
-    left, right = (np.flatnonzero(cell["asks"].to_numpy(zero_copy_only=False) == side) for side in (True, False))
+    nodes, labels, left, right = _sides(cell)
     if not len(left) or not len(right):
         return _edges(nodes, [])
-    signatures, found = _matrix(cell["signature"], width), []
-    for i in left:
-        differ = (signatures[right] != signatures[i]).sum(axis=1)
-        found += [(i, j) for j in right[differ <= radius]]
-    return _edges(nodes, forest(found, labels))
+    signatures = _matrix(cell["signature"], width)
+    others = signatures[right]
+    return _edges(nodes, connecting(labels, left, right, ((others != signatures[i]).sum(axis=1) <= radius for i in left)))
 
 
 def _every(count: Column) -> Column:
@@ -297,7 +312,7 @@ class _Join:
 
     def sets(self, members: DataFrame) -> DataFrame:
         """The members (node, first_id and more) with their whole sets."""
-        asked = bit_table(members.select(F.col("node").bitwiseXOR(F.col("first_id")).alias("hash")), "hash", FAMILY_BITS)
+        asked = bit_table(members, "first_id", FAMILY_BITS)
         held = _whole_sets(self.docs, self.similarity, asked).withColumnRenamed("doc_id", "first_id")
         return held.join(members, ["node", "first_id"])
 
