@@ -74,6 +74,40 @@ def written_counting(df: DataFrame, label: str, condition: Column) -> tuple[Data
     return table, seen.get["n"]
 
 
+class KeyedTable:
+    """A table that is kept hashed by its key into buckets, so joins and counts by that key move none of its rows.
+
+    Rows are only ever appended. The table lives in the work area and is forgotten by ``drop``; its files stay as
+    long as the area keeps them, for readers that hold on to it.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, columns: dict[str, str], keys: list[str]):
+        self.spark, self.keys, self.columns = spark, keys, list(columns)
+        self.name = f"{label}_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        shown = ", ".join(f"{c} {t}" for c, t in columns.items())
+        spark.sql(
+            f"CREATE TABLE {self.name} ({shown}) USING parquet CLUSTERED BY ({', '.join(keys)}) INTO {self.buckets} BUCKETS "
+            f"LOCATION '{work_area(spark)}/{self.name}'"
+        )
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def append(self, rows: DataFrame, placed: bool = False) -> int:
+        """Add rows and count them; ``placed`` says that they are hashed by the key already."""
+        rows = rows.select(*self.columns)
+        if not placed:
+            rows = rows.repartition(self.buckets, *self.keys)
+        seen = Observation(self.name)
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
+        return seen.get["n"]
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when the counted ``rows`` prove the side small; otherwise leave it alone."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -174,8 +174,10 @@ def brute(edge_rows, kind, start, goal, shut):
     return best.get(goal)
 
 
-@pytest.mark.parametrize("kind", ["hops", "hops-both", "distance", "directed", "jumps", "fuel"])
-@pytest.mark.parametrize("large", [False, True])
+@pytest.mark.parametrize(
+    "kind, large",
+    [("hops", False), ("hops-both", True), ("distance", False), ("directed", False), ("directed", True), ("jumps", False), ("fuel", True)],
+)
 def test_search_equals_dijkstra(spark, monkeypatch, kind, large):
     if large:  # the ways for tables too large to broadcast, with salted hubs and narrow beams
         for module in (search, session):
@@ -183,7 +185,7 @@ def test_search_equals_dijkstra(spark, monkeypatch, kind, large):
         monkeypatch.setattr(search, "EDGE_BROADCAST_ROWS", 0)
         monkeypatch.setattr(search, "HUB_EDGES", 2)
         monkeypatch.setattr(search, "FIRST_BEAM", 16)
-        monkeypatch.setattr(search, "MERGE_AFTER", 3)
+        monkeypatch.setattr(search, "STEADY_ROWS", 0)
     s, table = random_map(spark, 3)
     shut = {7, 20}
     asked = profiles(spark, kind, 8 if large else 12)
