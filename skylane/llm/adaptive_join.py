@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skylane.llm import word_pieces
+from skylane.llm.bit_table import bit_table, holds
 from skylane.llm.common import counted, join_answers
 from skylane.session import small_side, written, written_counting
 
@@ -53,6 +54,8 @@ BLOCK = 1_024
 BLOCK_ELEMENTS = 1_000_000
 # Words whose hashes one worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 1_000_000
+# Bits of the table that holds back texts which are not asked for.
+ASKED_BITS = 26
 _MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
@@ -122,8 +125,9 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=pa.int64()))
 
 
-def _sets(rows: DataFrame, similarity: Similarity, whole: bool) -> DataFrame:
-    """doc_id, node (digest of the set; null without words), n, and the set or its first elements."""
+def _sets(rows: DataFrame, similarity: Similarity, asked: np.ndarray | None = None) -> DataFrame:
+    """doc_id, node (digest of the set; null without words), n, and the first elements of the set; or, of the rows
+    whose id the table of bits ``asked`` may hold, the whole set. No other text is looked at then."""
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("items", pa.list_(pa.int64()))])
     bound = 2_000_000
 
@@ -134,12 +138,16 @@ def _sets(rows: DataFrame, similarity: Similarity, whole: bool) -> DataFrame:
 
         keys, nodes, sizes, items, held = [], [], [], [], 0
         for ids, texts in word_pieces.id_and_text(batches):
-            for key, text in zip(ids, texts):
-                found = similarity.shingles(text)
+            chosen = range(len(ids))
+            if asked is not None:
+                named = np.array([key is not None for key in ids], dtype=bool)
+                chosen = np.flatnonzero(named & holds(asked, np.array([key or 0 for key in ids], dtype=np.int64).view(np.uint64)))
+            for i in chosen:
+                key, found = ids[i], similarity.shingles(texts[i])
                 keys.append(key)
                 sizes.append(len(found))
                 nodes.append(xxhash.xxh128_digest(found.tobytes()) if len(found) else None)
-                items.append(_as_long(found if whole else found[: similarity.kept(len(found))]))
+                items.append(_as_long(found if asked is not None else found[: similarity.kept(len(found))]))
                 held += len(items[-1])
                 if held >= bound:
                     yield batch()
@@ -250,7 +258,7 @@ class _Search:
     def __init__(self, docs: DataFrame, similarity: Similarity):
         self.similarity = similarity
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.rows, self.total = counted(_sets(self.docs, similarity, whole=False), "prefixes")
+        self.rows, self.total = counted(_sets(self.docs, similarity), "prefixes")
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """One row per distinct set (node, n, first_id, size), and the rows that stand for the classes."""
@@ -270,7 +278,8 @@ class _Search:
         rep = F.xxhash64("node").alias("rep")
         postings = firsts.select(rep, F.posexplode("items").alias("pos", "token"))
         shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        live = postings.join(shared, "token")
+        # Met by sorting at every size, so that small inputs take the way that large ones take.
+        live = postings.join(written(shared, "shared").hint("merge"), "token")
         facts = live.groupBy("rep").agg(F.collect_list(F.struct("pos", "df", "token")).alias("live"))
         d = self.similarity.missing(F.col("n"))
         facts = firsts.select("node", "n", "doc_id", rep, d.alias("d")).join(facts, "rep")
@@ -285,8 +294,8 @@ class _Search:
     def whole_sets(self, kept: DataFrame) -> DataFrame:
         """rep, node, n, items (the whole set) of the candidates."""
         ids, rows = counted(kept.select("doc_id", "node", "rep"), "candidate-ids")
-        texts = self.docs.join(small_side(ids.select("doc_id"), rows), "doc_id", "left_semi")
-        sets = _sets(texts, self.similarity, whole=True)
+        # A bounded table of bits holds the other texts back where they are read, so no text is ever shuffled.
+        sets = _sets(self.docs, self.similarity, bit_table(ids, "doc_id", ASKED_BITS))
         # Rows that repeat an id may bring other texts along; a set that comes twice changes no result.
         return written(sets.join(small_side(ids, rows), ["doc_id", "node"]).select("rep", "node", "n", "items"), "sets")
 
