@@ -19,7 +19,7 @@ from skylane.functions.ship_physics import (
 from skylane.functions.text import cooldown_text, whole_units
 from skylane.operators import edges, enrich, names, requests, scout, search
 from skylane.plans import route_planner
-from skylane.plans.registry import query, r4, r6
+from skylane.plans.registry import PARTS, query, r4, r6
 from skylane.plans.sample_map import SampleMap
 from skylane.session import written
 from skylane.sources import datasets
@@ -327,6 +327,15 @@ def routes_by_gate_or_jump(m: SampleMap) -> DataFrame:
     return found.select("request_id", "found", r6("cost").alias("cost"))
 
 
+@query(_search_sql("algorithm", "mode", "objective", "CAST(0 AS BIGINT) AS undercut"), _ROUTE_PARTS)
+def route_certificates(m: SampleMap) -> DataFrame:
+    """Every answer proved by its reached costs, which no allowed edge undercuts, whatever the request's objective."""
+    resolved, table, systems = _route_profiles(m)
+    asked = resolved.where("status = 'open'")
+    avoided = asked.select("request_id", F.explode("avoid_ids").alias("node"))
+    return search.search(asked, table, systems, avoided, settle=True)[0].select("request_id", "found", "undercut")
+
+
 _PLAN_SQL = _search_sql("algorithm", "mode", "objective").replace(
     _FOUND.replace("{cost}", "round(cost, 6) AS cost"), ""
 ) + """
@@ -435,20 +444,6 @@ def request_parameters(m: SampleMap) -> DataFrame:
     return echo.select("request_id", "p.*")
 
 
-@query()
-def enriched_route_summaries(m: SampleMap) -> DataFrame:
-    """Planned routes with distance, method, fuel and heat rolled up per request."""
-    systems = written(m.systems, "systems")
-    plans = route_planner.plan_routes(m.route_requests, systems, m.pairs, m.ships, suggest=False)
-    _, summary = route_planner.enriched_routes(plans, systems, m.pairs)
-    return summary.select(
-        "request_id", "start_id", "goal_id", "hops", "gates", "jumps", r6("total_distance").alias("total_distance"),
-        r6("jump_distance").alias("jump_distance"), r6("fuel_total").alias("fuel_total"),
-        r6("fuel_remaining").alias("fuel_remaining"), "refuelled", r4("total_wait_seconds").alias("total_wait_seconds"),
-        r6("final_residual").alias("final_residual"), F.concat_ws(",", "warnings").alias("warnings"),
-    )
-
-
 # --- enrichment of a whole corpus ------------------------------------------------------------------------------------
 
 
@@ -645,6 +640,79 @@ def heat_summaries(m: SampleMap) -> DataFrame:
     )
 
 
+_PRICE = "CASE objective WHEN 'hops' THEN 1e0 WHEN 'distance' THEN distance ELSE CASE WHEN kind = 'gate' THEN 0e0 ELSE per_ly * distance END END"
+
+# The planned routes themselves: cheapest, then shortest arrivals, and of equal ways the smallest previous system.
+_WALKS_SQL = (
+    "WITH RECURSIVE "
+    + _PROFILES
+    + f""",
+prof AS MATERIALIZED (SELECT * FROM staged WHERE stage = 'open'),
+reach(request_id, node, cost, hops) USING KEY (request_id, node) AS (
+  SELECT request_id, start, 0e0, 0 FROM prof
+  UNION
+  SELECT c.request_id, c.node, c.best.cost, c.best.hops FROM (
+    SELECT r.request_id, l.dst AS node, min({{'cost': r.cost + {_PRICE}, 'hops': r.hops + 1}}) AS best
+    FROM reach r JOIN prof p ON p.request_id = r.request_id JOIN links l ON l.src = r.node
+    WHERE (avoid_id IS NULL OR l.dst <> avoid_id) AND ({_ALLOWED})
+    GROUP BY r.request_id, l.dst) c
+  LEFT JOIN recurring.reach k ON k.request_id = c.request_id AND k.node = c.node
+  WHERE k.cost IS NULL OR c.best.cost < k.cost OR (c.best.cost = k.cost AND c.best.hops < k.hops)),
+walk(request_id, node, step, cost) AS (
+  SELECT p.request_id, r.node, r.hops, r.cost FROM prof p JOIN reach r ON r.request_id = p.request_id AND r.node = p.goal
+  UNION ALL
+  SELECT request_id, src, step - 1, cost FROM (
+    SELECT w.request_id, l.src, w.step, u.cost
+    FROM walk w JOIN prof p ON p.request_id = w.request_id JOIN links l ON l.dst = w.node
+    JOIN reach u ON u.request_id = w.request_id AND u.node = l.src
+    WHERE w.step > 0 AND u.hops + 1 = w.step AND u.cost + {_PRICE} = w.cost AND (avoid_id IS NULL OR l.dst <> avoid_id) AND ({_ALLOWED})
+    QUALIFY row_number() OVER (PARTITION BY w.request_id ORDER BY l.src) = 1)),
+walks AS MATERIALIZED (SELECT request_id, step, node AS system_id FROM walk),
+hops AS MATERIALIZED ({PARTS["hops"][1]}),
+loads AS MATERIALIZED (
+  SELECT request_id, ship_name, hull AS base_mass_kg, heat AS specific_heat, load AS fuel_load, 0e0 AS cargo, fuel_quality AS quality, dynamic_mass
+  FROM prof WHERE ship_name IS NOT NULL),
+"""
+)
+
+
+@query(
+    _WALKS_SQL
+    + _FOLD_SQL.replace("{short}", "NOT is_gate AND cost > before").removeprefix("WITH RECURSIVE ").rstrip()
+    + ","
+    + _HEAT_SQL
+    + """,
+    way AS (SELECT request_id, count(*) - 1 AS hops, sum(coalesce(distance, 0)) AS total, sum(CASE WHEN method = 'jump' THEN distance ELSE 0 END) AS jumped,
+                   min_by(system_id, step) AS start_id, max_by(system_id, step) AS goal_id,
+                   count(*) FILTER (step > 0 AND method = 'gate') AS gate_hops FROM hops GROUP BY request_id),
+    burnt AS (SELECT request_id, arg_max_null(cumulative, step) AS total, bool_or(warning IS NOT NULL) AS refuelled,
+                     arg_max_null(remaining, step) AS last_remaining FROM fold WHERE step > 0 GROUP BY request_id),
+    warmed AS (SELECT request_id, coalesce(sum(wait), 0) AS wait, max_by(residual, step) AS residual,
+                      string_agg(warning, ',' ORDER BY step) FILTER (warning IS NOT NULL) AS warnings FROM heat GROUP BY request_id)
+    SELECT w.request_id, start_id, goal_id, w.hops, CASE WHEN mode = 'spatial' THEN 0 ELSE gate_hops END AS gates,
+           CASE WHEN mode = 'spatial' THEN w.hops ELSE w.hops - gate_hops END AS jumps,
+           round(w.total, 6) AS total_distance, round(jumped, 6) AS jump_distance, round(b.total, 6) AS fuel_total,
+           round(CASE WHEN b.request_id IS NULL THEN NULL WHEN refuelled THEN fuel_load WHEN l.dynamic_mass THEN last_remaining
+                      ELSE greatest(fuel_load - b.total, 0) END, 6) AS fuel_remaining,
+           refuelled, round(wait, 4) AS total_wait_seconds, round(residual, 6) AS final_residual, coalesce(warnings, '') AS warnings
+    FROM way w JOIN prof p ON p.request_id = w.request_id LEFT JOIN loads l ON l.request_id = w.request_id
+    LEFT JOIN burnt b ON b.request_id = w.request_id LEFT JOIN warmed h ON h.request_id = w.request_id""",
+    _ROUTE_PARTS,
+)
+def enriched_route_summaries(m: SampleMap) -> DataFrame:
+    """Planned routes with distance, method, fuel and heat rolled up per request."""
+    systems = written(m.systems, "systems")
+    plans = route_planner.plan_routes(m.route_requests, systems, m.pairs, m.ships, suggest=False)
+    _, summary = route_planner.enriched_routes(plans, systems, m.pairs)
+    return summary.select(
+        "request_id", "start_id", "goal_id", "hops", "gates", "jumps", r6("total_distance").alias("total_distance"),
+        r6("jump_distance").alias("jump_distance"), r6("fuel_total").alias("fuel_total"),
+        r6("fuel_remaining").alias("fuel_remaining"), "refuelled", r4("total_wait_seconds").alias("total_wait_seconds"),
+        r6("final_residual").alias("final_residual"), F.concat_ws(",", "warnings").alias("warnings"),
+    )
+
+
+
 @query(
     """SELECT request_id, count(*) - 1 AS hops, count(*) AS steps, min_by(system_id, step) AS start_id,
               max_by(system_id, step) AS goal_id, string_agg(CAST(system_id AS VARCHAR), ',' ORDER BY step) AS ids,

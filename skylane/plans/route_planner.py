@@ -219,7 +219,7 @@ def plan_routes(
     )
     profiles = searches.drop("question").withColumnRenamed("search_id", "request_id")
     avoided = profiles.select("request_id", F.explode("avoid_ids").alias("node"))
-    arrivals, state = search(profiles, edges, systems, avoided)
+    arrivals, state = search(profiles, edges, systems, avoided, settle=True)
     paths = written(rebuild_paths(arrivals, state), "paths")
 
     answers = arrivals.select(
@@ -267,7 +267,7 @@ def _replanned(unsafe, steps, found, profiles, asks, edges, systems):
         .join(profiles.drop("graph_id").withColumnRenamed("request_id", "search_id"), "search_id")
     )
     avoided = again.select("request_id", F.explode("avoid_ids").alias("node"))
-    arrivals, state = search(again, edges, systems, avoided)
+    arrivals, state = search(again, edges, systems, avoided, settle=True)
     paths = rebuild_paths(arrivals, state)
     kept_steps = steps.join(unsafe, "request_id", "left_anti").unionByName(paths)
     kept_found = found.join(unsafe, "request_id", "left_anti").select("request_id", "found", "cost", "graph_id", "mode")
