@@ -52,8 +52,10 @@ LONG_LIST = 64
 # Members that meet in one task: so many sets at most, and about so many elements.
 BLOCK = 1_024
 BLOCK_ELEMENTS = 1_000_000
-# Words whose hashes one worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 1_000_000
+# Words whose hashes one worker remembers; beyond it the memory is emptied and filled anew. Longer words than
+# these are hashed each time, so what is remembered stays below some 40 MB.
+REMEMBERED = 200_000
+LONGEST_REMEMBERED = 64
 # Bits of the table that holds back texts which are not asked for.
 ASKED_BITS = 26
 _MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
@@ -61,9 +63,11 @@ _MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = h
         return h
 
 
