@@ -412,21 +412,71 @@ def streamed_error_rate(m: SampleMap) -> DataFrame:
     return _drained(m, judged, "error-rate").select(_wall_clock("at_minute").alias("at_minute"), r6("value").alias("value"), "breached")
 
 
+_STREAMED_SQL = _MINUTES_SQL + """, final AS (
+  SELECT * FROM judged WHERE alert IN ('HighErrorRate', 'Elevated4xxRate', 'HighRouteFailureRate', 'HighLatency')
+    AND at_minute <= (SELECT max(ts) FROM request_log) - INTERVAL 10 MINUTE)
+"""
+
+
+@query(_STREAMED_SQL + "SELECT alert, path, at_minute, round(value, 6) AS value, breached FROM final", ("request_log",))
+def streamed_alert_evaluations(m: SampleMap) -> DataFrame:
+    """All conditions that a stream can judge, in one query of chained aggregations."""
+    judged = metrics.all_windowed_evaluations(_stamped(_event_stream(m, REQUEST_LOG))).drop("at")
+    return _drained(m, judged, "evaluations").select("alert", "path", _wall_clock("at_minute").alias("at_minute"), r6("value").alias("value"), "breached")
+
+
 @query(
-    _STREAM_ALERT_SQL
-    + """, runs AS (SELECT *, row_number() OVER (ORDER BY at_minute) AS rn FROM final WHERE breached),
-    islands AS (SELECT *, min(at_minute) OVER (PARTITION BY at_minute - to_minutes(CAST(rn AS INTEGER))) AS since FROM runs)
-    SELECT at_minute, round(value, 6) AS value, since FROM islands WHERE date_diff('minute', since, at_minute) >= 3""",
+    _STREAMED_SQL
+    + """, runs AS (SELECT *, row_number() OVER (PARTITION BY alert, path ORDER BY at_minute) AS rn FROM final WHERE breached),
+    islands AS (SELECT *, min(at_minute) OVER (PARTITION BY alert, path, at_minute - to_minutes(CAST(rn AS INTEGER))) AS since FROM runs)
+    SELECT alert, path, at_minute, round(value, 6) AS value, since FROM islands
+    WHERE date_diff('minute', since, at_minute) >= CASE alert WHEN 'HighErrorRate' THEN 5 WHEN 'HighLatency' THEN 10 ELSE 15 END""",
     ("request_log",),
 )
 def streamed_held_alerts(m: SampleMap) -> DataFrame:
-    """The same condition held for three minutes, followed by a keyed state."""
-    alert = monitor.ALERTS[0]
-    judged = _drained(m, metrics.windowed_evaluations(_stamped(_event_stream(m, REQUEST_LOG)), alert), "judged")
-    path = f"{work_area(m.spark)}/judged-feed-{uuid.uuid4().hex}"
-    judged.coalesce(1).write.parquet(path)
-    feed = m.spark.readStream.schema(judged.schema).parquet(path)
-    fired = _drained(m, metrics.held_alerts(feed, 3), "held")
-    return fired.select(_wall_clock("at_minute").alias("at_minute"), r6("value").alias("value"), _wall_clock("since").alias("since"))
+    """The same conditions held for their whole hold time, followed by a keyed state in the same query."""
+    name, store = metrics.STATE_STORE
+    before = m.spark.conf.get(name)
+    m.spark.conf.set(name, store)
+    try:
+        held = _drained(m, metrics.held_alerts(metrics.all_windowed_evaluations(_stamped(_event_stream(m, REQUEST_LOG)))), "held")
+    finally:
+        m.spark.conf.set(name, before)
+    return held.select("alert", "path", _wall_clock("at_minute").alias("at_minute"), r6("value").alias("value"), _wall_clock("since").alias("since"))
+
+
+def _fed(m: SampleMap, requests: DataFrame, label: str, files: int) -> DataFrame:
+    """Requests as files of a feed, read as a stream one file at a time."""
+    path = f"{work_area(m.spark)}/{label}-{uuid.uuid4().hex}"
+    requests.repartition(files, "request_id").write.parquet(path)
+    return m.spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
 
+def _answered(m: SampleMap, feed: DataFrame, sink: feeds.ReplayedSink) -> DataFrame:
+    sink.answered(feed).option("checkpointLocation", f"{sink.path}-progress").trigger(availableNow=True).start().awaitTermination()
+    return sink.read(m.spark)
 
+
+@query(
+    queries_routes._RANGE_SQL
+    + """SELECT request_id, CAST(rank AS INTEGER) AS rank, dst AS system_id, round(distance, 6) AS distance FROM answers""",
+    ("scout_requests", "systems", "gaps"),
+)
+def streamed_scout_range(m: SampleMap) -> DataFrame:
+    """A feed of scout-range requests, answered batch by batch into a sink that a replay does not change."""
+    systems, pairs = written(m.systems, "systems"), written(m.pairs, "pairs")
+    sink = feeds.range_sink(systems, pairs, f"{work_area(m.spark)}/scout-range-{uuid.uuid4().hex}")
+    found = _answered(m, _fed(m, m.scout_requests, "scout-feed", 2), sink)
+    return found.select("request_id", "rank", "system_id", r6("distance").alias("distance"))
+
+
+_OUTCOMES_SQL = queries_routes._PLAN_SQL.replace("SELECT s.request_id, s.mode, s.objective,", "SELECT request_id, status, cost, advice FROM (SELECT s.request_id,") + ")"
+
+
+@query(_OUTCOMES_SQL, queries_routes._ROUTE_PARTS)
+def streamed_routes(m: SampleMap) -> DataFrame:
+    """A feed of route requests, planned batch by batch."""
+    systems, pairs = written(m.systems, "systems"), written(m.pairs, "pairs")
+    sink = feeds.route_sink(systems, pairs, m.ships, f"{work_area(m.spark)}/routes-{uuid.uuid4().hex}")
+    found = _answered(m, _fed(m, m.route_requests, "route-feed", 1), sink)
+    return found.select("request_id", "status", r6("cost").alias("cost"), "advice")

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skylane.functions.text import status_class
-from skylane.operators.monitor import BUCKETS, Alert, _condition, _measures, bucket_counts
+from skylane.operators.monitor import ALERTS, BUCKETS, Alert, _condition, _measures, bucket_counts
 
 LATENESS = "10 minutes"
 
@@ -53,35 +53,85 @@ def windowed_evaluations(log: DataFrame, alert: Alert) -> DataFrame:
     ).where("value is not null")
 
 
+# The conditions that a stream can judge; silence forms no window and is left to the batch job.
+STREAMED = tuple(a for a in ALERTS if a.window_minutes == 5)
+_SUMMED = ["requests", "errors", "client_errors", "routes", "failed_routes", *BUCKETS]
+
+
+def all_windowed_evaluations(log: DataFrame) -> DataFrame:
+    """Every streamed alert at every final minute: ``at`` (event time of the window), ``alert, path, at_minute, value, breached``.
+
+    Two watermarked aggregations in one query. Raw rows are counted per minute and path and leave the state with their
+    minute; the sliding windows are then summed from those few rows, once per path and once over all paths.
+    """
+    minutes = log.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 minute"), "path").agg(*_measures())
+    labelled = minutes.withColumn("label", F.explode(F.array(F.col("path"), F.lit(None).cast("string"))))
+    sliding = F.window(F.window_time("window"), "5 minutes", "1 minute")
+    sums = labelled.groupBy(sliding, "label").agg(*[F.sum(c).alias(c) for c in _SUMMED])
+    judged = []
+    for alert in STREAMED:
+        value, breached = _condition(alert)
+        applies = F.col("label").isNotNull() == F.lit(alert.per_path)
+        judged.append(F.when(applies, F.struct(F.lit(alert.name).alias("alert"), value.cast("double").alias("value"), F.coalesce(breached, F.lit(False)).alias("breached"))))
+    rows = sums.withColumn("judged", F.explode(F.array_compact(F.array(*judged)))).where("judged.value is not null")
+    return rows.select(
+        F.window_time("window").alias("at"), "judged.alert", F.coalesce("label", F.lit("")).alias("path"),
+        F.col("window.end").alias("at_minute"), "judged.value", "judged.breached",
+    )
+
+
 _HELD = "alert string, path string, at_minute timestamp, value double, since timestamp"
-_STATE = "since_us long, last_us long"
 _MINUTE_US = 60_000_000
+# The state store that keyed state with timers needs; set it on the session before a stream of held alerts starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Hold(StatefulProcessor):
+    """Two timestamps per alert and path: the first minute of the unbroken run, and the last minute seen."""
+
+    def __init__(self, holds: dict[str, int]):
+        self.holds = holds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "since_us long, last_us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        since, last = self.run.get() if self.run.exists() else (-1, -1)
+        held = pd.concat(list(rows)).sort_values("at_minute")
+        minutes = pd.to_datetime(held["at_minute"]).astype("datetime64[us]").astype("int64")
+        breached = held["breached"].astype(bool)
+        gap = minutes.diff().fillna(minutes.iloc[0] - last) != _MINUTE_US
+        # A run begins where a breach follows a gap or a calm minute; the first row may go on with the run kept.
+        begins = breached & (gap | ~breached.shift(fill_value=since >= 0))
+        started = minutes.where(begins).ffill().fillna(since).astype("int64")
+        fired = breached & (minutes - started >= self.holds[key[0]] * _MINUTE_US)
+        self.run.update((int(started.iloc[-1]) if breached.iloc[-1] else -1, int(minutes.iloc[-1])))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # Once the watermark has passed the minute after the next, nothing can go on with this run.
+        self.handle.registerTimer(int(minutes.iloc[-1]) // 1_000 + 2 * _MINUTE_US // 1_000)
+        out = held[fired]
+        yield pd.DataFrame(
+            {"alert": key[0], "path": key[1], "at_minute": out["at_minute"], "value": out["value"], "since": pd.to_datetime(started[fired], unit="us")}
+        )
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.run.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
-def held_alerts(judged: DataFrame, hold_minutes: int) -> DataFrame:
-    """Fire once a condition has held at every minute for ``hold_minutes``.
+def held_alerts(judged: DataFrame, holds: dict[str, int] | None = None) -> DataFrame:
+    """Fire at every minute at which a condition has held for its alert's whole hold time (minutes, ``holds``).
 
-    ``judged`` is a stream of final evaluations. The state per alert and path is two timestamps; a minute
-    that is not breached, or is missing, ends the run.
+    ``judged`` comes from ``all_windowed_evaluations``, in the same query: windows arrive final, those of one micro-batch
+    in any order, those of a later one after them. A minute that is not breached, or missing, ends a run; an event-time
+    timer drops the state of a path that falls silent. Needs the state store named in ``STATE_STORE``.
     """
-    hold_us = hold_minutes * _MINUTE_US
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, last = state.get if state.exists else (-1, -1)
-        rows = pd.concat(list(batches)).sort_values("at_minute")
-        fired = []
-        for at, value, breached in zip(rows["at_minute"], rows["value"], rows["breached"]):
-            now = int(at.value // 1_000)
-            if not breached:
-                since = -1
-            elif since < 0 or now - last != _MINUTE_US:
-                since = now
-            last = now
-            if since >= 0 and now - since >= hold_us:
-                fired.append((key[0], key[1], at, value, pd.Timestamp(since, unit="us")))
-        state.update((since, last))
-        yield pd.DataFrame(fired, columns=["alert", "path", "at_minute", "value", "since"])
-
-    return judged.groupBy("alert", "path").applyInPandasWithState(
-        follow, _HELD, _STATE, "append", GroupStateTimeout.NoTimeout
+    holds = holds or {a.name: a.hold_minutes for a in STREAMED}
+    return judged.groupBy("alert", "path").transformWithStateInPandas(
+        _Hold(holds), outputStructType=_HELD, outputMode="Append", timeMode="EventTime"
     )

@@ -211,6 +211,17 @@ def test_search_equals_dijkstra(spark, monkeypatch, kind, large):
             assert all(any(e["dst"] == b for e in by_source[a]) for a, b in zip(walk, walk[1:]))
 
 
+def test_a_search_broken_off_is_not_proved(spark, monkeypatch):
+    s, table = random_map(spark, 3)
+    asked = profiles(spark, "directed", 6)
+    whole, _ = search.search(asked, table, s, settle=True)
+    assert {r["undercut"] for r in whole.collect()} == {0}
+    monkeypatch.setattr(search._Search, "run", lambda self: self.seed())
+    cut, _ = search.search(asked, table, s, settle=True)
+    assert all(r["found"] == (r["start"] == r["goal"]) for r in cut.collect())
+    assert any(r["undercut"] > 0 for r in cut.collect())
+
+
 def test_a_long_chain_of_gates_is_followed_to_its_end(spark):
     systems = [system(i, 10.0 * i) for i in range(41)]
     plans, _, _ = plan(
