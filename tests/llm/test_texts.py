@@ -302,6 +302,31 @@ def test_rules_hosts_and_paths(spark):
     assert path_templates.judge(empty(spark, "page_id long, url string"), RULES).collect() == []
 
 
+def test_deep_paths_keep_their_own_templates(spark):
+    deep = "/a/b/c/d/e/f/g/h/i/j"
+    rules = (path_templates.Rule("block", "deep.com", deep + "/bad"),)
+    rows = [(i, f"http://deep.com{deep}/{'bad' if i % 2 else 'good'}/{'xyz'[i // 2 % 3]}page") for i in range(120)]
+    rows += [(1_000, "http://deep.com/" + "/".join(f"s{i}" for i in range(5_000)))]
+    found = {r.page_id: r for r in path_templates.judge(table(spark, rows, "page_id long, url string"), rules).collect()}
+    assert {found[i].template for i in range(0, 120, 2)} == {f"{deep}/good/{k}page" for k in 'xyz'}
+    assert {found[i].verdict for i in range(0, 120, 2)} == {"allow"} and {found[i].verdict for i in range(1, 120, 2)} == {"block"}
+    assert found[1_000].template.count("/") == 5_000
+
+
+def test_merging_gives_a_branch_without_labels_the_verdict_of_those_like_it(spark):
+    rules = (path_templates.Rule("block", "x.com", "/spam1/"), path_templates.Rule("block", "x.com", "/spam2/"), path_templates.Rule("allow", "x.com", "/news/"))
+    rows = []
+    for branch in ("spam1", "spam2", "spam3", "spam4"):  # one shape; two are labelled, two are not
+        rows += [f"http://x.com/{branch}/buy/{i}" for i in range(60)] + [f"http://x.com/{branch}/now" for _ in range(20)]
+    rows += [f"http://x.com/news/{i}/story" for i in range(100)] + [f"http://x.com/about/{i}/story" for i in range(100)]
+    rows += [f"http://x.com/skewed/buy/{i}" for i in range(20)] + ["http://x.com/skewed/now"] * 60  # same templates, another spread
+    found = path_templates.judge(table(spark, list(enumerate(rows)), "page_id long, url string"), rules).collect()
+    verdicts = {}
+    for r in found:
+        verdicts.setdefault(r.path.split("/")[1], set()).add(r.verdict)
+    assert verdicts == {k: {"block"} for k in ("spam1", "spam2", "spam3", "spam4")} | {k: {"allow"} for k in ("news", "about", "skewed")}
+
+
 def test_templates_generalise_and_reject(spark):
     rules = (path_templates.Rule("block", "bad.com", "/shop/a"),)
     # Paths below /shop differ in every page; most are blocked by the rule, the others look the same.
