@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from math import log2
 
@@ -178,27 +179,52 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
         run, at = m[0], m.start()
         base += [(at + x.start(), at + x.end(), "access") for x in _ACCESS.finditer(run) if x.end() - x.start() >= 20]
         base += [(at + x.start(), at + x.end(), "hex") for x in _HEX.finditer(run) if x.end() - x.start() >= 24]
-        taken: list[tuple[int, int]] = []
+        whole: list[tuple[int, int]] = []  # spans that do not overlap, by start
         parts: list[tuple[int, int, str]] = []
         for kind, (letters, least) in CLASSES.items():
             for a, b in hot_windows(run, letters, least):
-                if any(a < d and c < b for c, d in taken):
+                place = bisect_left(whole, (b,))
+                if place and whole[place - 1][1] > a:
                     continue
                 if allowed(run[a:b]):
                     parts += [(a + c, a + d, kind) for c, d in keys_beside_words(run[a:b], letters, least)]
                 else:
-                    taken.append((a, b))
+                    whole.insert(place, (a, b))
                     added.append((at + a, at + b, kind))
+        taken = _Containers([a for a, _ in whole] + [a for a, _, _ in parts])
+        for a, b in whole:
+            taken.add(a, b)
         for a, b, kind in parts:
-            if not any(c <= a and b <= d for c, d in taken):
-                taken.append((a, b))
+            if not taken.hold(a, b):
+                taken.add(a, b)
                 added.append((at + a, at + b, kind))
     base.sort(key=lambda s: (s[0], _BASE_KINDS.index(s[2])))
-    return base, [s for s in added if not _covered(s, base)]
-
-
-def _covered(span: tuple[int, int, str], base: list[tuple[int, int, str]]) -> bool:
-    return any(a <= span[0] and span[1] <= b for a, b, _ in base)
+    fixed = _Containers([a for a, _, _ in base])
+    for a, b, _ in base:
+        fixed.add(a, b)
+    return base, [s for s in added if not fixed.hold(s[0], s[1])]
+
+
+class _Containers:
+    """Spans with given starts, asked whether one of them contains another span; both in logarithmic time."""
+
+    def __init__(self, starts: list[int]):
+        self.starts = sorted(set(starts))
+        self.ends = [-1] * (len(self.starts) + 1)  # a tree of greatest ends over prefixes of the starts
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_left(self.starts, start) + 1
+        while i < len(self.ends):
+            self.ends[i] = max(self.ends[i], end)
+            i += i & -i
+
+    def hold(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start)
+        while i:
+            if self.ends[i] >= end:
+                return True
+            i -= i & -i
+        return False
 
 
 # Lower case for the ASCII letters only, so that positions and other letters stay.
