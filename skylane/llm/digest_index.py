@@ -5,10 +5,11 @@ join that reads the index without shuffling it, and what is new is appended. The
 are read once and never shuffled.
 
 Defined results: a null text counts as empty, and empty texts equal each other; of equal texts the
-longest original stays, then the smallest id; a text that an earlier batch has brought stays with
-that batch's document. Rows without an id lose against rows with one; where all rows of a group lack
-one, ``keep_id`` is null and all are kept. A row repeated with the same id and text gets the same
-answer as its twin. An empty batch gives an empty result. Other columns are ignored, whatever their names.
+longest original stays, then a row with an id, then the smallest id; a text that an earlier batch has
+brought stays with that batch's document. Where the row that stays lacks an id, ``keep_id`` is null. In the
+answers a row repeated with the same id and an equal text is kept like its twin; ``without_copies`` keeps
+exactly one row of each text, whichever of such twins. An empty batch gives an empty result. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,11 +88,24 @@ def fresh_index(spark: SparkSession, buckets: int = BUCKETS) -> DigestIndex:
 
 
 def without_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of ``docs`` that the index keeps, with all their columns and nothing else."""
+    """One row of each text that is new to the index, the one that it keeps, with all its columns."""
     found = index.deduplicate(docs)
-    dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id"), F.col("text_sha256").alias("_dropped_digest"))
-    same = docs["doc_id"].eqNullSafe(dropped["_dropped_id"]) & (digest(F.coalesce(docs["text"], F.lit(""))) == dropped["_dropped_digest"])
-    return docs.join(dropped.distinct(), same, "left_anti")
+    pair = [F.col("doc_id").alias("_of_id"), F.col("text_sha256").alias("_of_digest")]
+    columns = docs.columns
+    dropped = found.filter(~F.col("kept")).select(*pair).distinct()
+    own = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.withColumn("_digest", own)
+
+    def same(pairs: DataFrame) -> Column:
+        return rows["doc_id"].eqNullSafe(pairs["_of_id"]) & (rows["_digest"] == pairs["_of_digest"])
+
+    # Rows repeated with one id and an equal text are all as good as the one that stays; only these meet once more.
+    twins = written(found.filter("kept").groupBy(*pair).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").drop("_times"), "twins")
+    if twins.isEmpty():
+        return rows.join(dropped, same(dropped), "left_anti").select(*columns)
+    one = rows.join(twins, same(twins), "left_semi").dropDuplicates(["doc_id", "_digest"])
+    out = dropped.unionByName(twins)
+    return rows.join(out, same(out), "left_anti").unionByName(one).select(*columns)
 
 
 # The same rows, for a check outside Spark.

@@ -30,6 +30,8 @@ from skylane.llm import word_pieces
 LONGEST_ROW = 128
 # Words remembered by one worker; beyond it the memory is emptied and filled anew, which costs time only.
 REMEMBERED = 600_000
+# Characters of the longest chunk that is remembered, so what a worker remembers is bounded in bytes too.
+LONGEST_REMEMBERED = 64
 # Characters of text whose unknown words are merged together.
 _TOGETHER = 4_000_000
 _CUT = re.compile(r"(?<!\s) ")
@@ -194,7 +196,11 @@ class MatrixBpe:
         for c, ws in cut.items():
             if len(ws) > 1:
                 self.known[c] = b"".join(map(known, ws))
-        return [np.frombuffer(b"".join(map(known, p)), dtype="<u4").tolist() for p in parts]
+        out = [np.frombuffer(b"".join(map(known, p)), dtype="<u4").tolist() for p in parts]
+        # Long chunks and words hardly come again, and a text without single blanks is one chunk: they are forgotten.
+        for w in {w for c, ws in cut.items() for w in (c, *ws) if len(w) > LONGEST_REMEMBERED}:
+            self.known.pop(w, None)
+        return out
 
     def rendered(self, ids: list[int]) -> str:
         return ",".join(map(self.decimal.__getitem__, ids))

@@ -16,6 +16,8 @@ import pyarrow as pa
 
 # Chunks that one worker remembers in each of two generations; when the young one is full it becomes the old one.
 REMEMBERED = 700_000
+# Characters of the longest chunk that is remembered; a text without blanks is one chunk, and is not kept.
+LONGEST_REMEMBERED = 64
 _TAILS = ".,;:!?%*$#&|"
 _loaded: dict[str, WordPieces] = {}
 
@@ -45,6 +47,8 @@ class WordPieces(dict):
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > LONGEST_REMEMBERED:
+            return self.encoded(chunk)
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()

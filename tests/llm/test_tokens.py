@@ -164,3 +164,16 @@ def test_no_rows(spark):
     path = orc_tokens.new_path(spark)
     orc_tokens.write(empty(spark), path, WORDS, 1, 3)
     assert orc_tokens.facts(orc_tokens.read(spark, path)).collect() == []
+
+
+def test_workers_remember_no_long_chunks():
+    import public_tokenizers
+
+    bpe = matrix_bpe.MatrixBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    pieces = word_pieces.WordPieces(word_pieces.default_file())
+    for i in range(40):
+        for text in (prose(i, 300).replace(" ", "  "), prose(i, 300).replace(" ", ""), "\u4e2d\u6587" * 400 + str(i)):
+            bpe.encode([text])
+            pieces.ids(text)
+    assert max(map(len, bpe.known)) <= matrix_bpe.LONGEST_REMEMBERED
+    assert max(map(len, pieces), default=0) <= word_pieces.LONGEST_REMEMBERED
