@@ -123,6 +123,9 @@ def neighbour_edges(systems: DataFrame, graphs: DataFrame) -> DataFrame:
     parts = []
     if shape["most"]:
         queries = _graph_queries(placed, graphs.where("k is not null"), count)
+        if not shape["cold"]:
+            queries = queries.withColumns({"heat_limit": F.col("limit"), "shuns": F.lit(0), "slack": F.lit(1)})
+            targets = targets.withColumns({"heat": F.col("min_external_temp"), "tags": F.lit(0)})
         parts.append(nearest(queries, targets, keep=fits, per_place=shape["most"] + 1 if shape["cold"] else None))
     if shape["widest"] is not None:
         queries = _graph_queries(placed, graphs.where("k is null"), count)

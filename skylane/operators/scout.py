@@ -18,6 +18,10 @@ from skylane.session import counted, spread_lookup, written
 DETAILS = ["name", "min_external_temp", "planet_count", "moon_count"]
 
 
+# Tags of systems that a request may shun: hidden ones, and those with a gate.
+_HIDDEN, _GATED = 1, 2
+
+
 def scout_gates(requests: DataFrame, pairs: DataFrame, systems: DataFrame) -> DataFrame:
     """Gate neighbours of each request's system, developer systems hidden unless asked for.
 
@@ -72,13 +76,20 @@ def scout_range(scouts: DataFrame, systems: DataFrame, pairs: DataFrame) -> Data
     ).select(
         F.col("question").alias("query_id"), "x", "y", "z", F.col("limit").alias("k"), "radius",
         "system_id", "max_temperature", "avoid_gates", "include_dev", "avoid_keys",
+        F.col("max_temperature").alias("heat_limit"),
+        (F.when(F.col("include_dev"), 0).otherwise(_HIDDEN) + F.when(F.col("avoid_gates"), _GATED).otherwise(0)).alias("shuns"),
     )
+    # Besides itself a request rules out every system of a name it avoids.
+    named = systems.groupBy(F.lower("name").alias("name_key")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    queries = queries.join(F.broadcast(named)).withColumn("slack", 1 + F.size("avoid_keys") * F.coalesce("most", F.lit(0))).drop("most")
     gated = pairs.select(F.col("src").alias("id")).distinct().withColumn("gated", F.lit(True))
     targets = systems.select(
         "id", "x", "y", "z", "min_external_temp",
         F.lower("name").alias("name_key"),
         is_developer_system(F.col("name")).alias("hidden"),
     ).join(gated, "id", "left")
+    tags = F.when(F.col("hidden"), _HIDDEN).otherwise(0) + F.when(F.col("gated").isNotNull(), _GATED).otherwise(0)
+    targets = targets.withColumns({"heat": F.col("min_external_temp"), "tags": tags})
     keep = (
         (F.col("id") != F.col("system_id"))
         & F.coalesce(F.col("min_external_temp") <= F.col("max_temperature"), F.lit(True))

@@ -19,6 +19,9 @@ from skylane.session import written
 CELL_SHARE = 4_096
 # Finer grids tried below the one that suits evenly spread targets.
 FINER_GRIDS = 8
+# Bands of heat that targets are counted by, and how many different tags there can be.
+HEAT_BANDS = 16
+TAG_BITS = 4
 
 _CELL = ["cx", "cy", "cz"]
 
@@ -129,6 +132,13 @@ def nearest(
     on with cells of twice the size. The first size is set by the fullest cell, so that dense areas
     finish on fine grids and never meet as a whole.
 
+    What ``keep`` asks of a target alone may be said in columns as well: targets carry ``heat`` (nullable) and ``tags``
+    (bits below ``2 ** TAG_BITS``), queries ``heat_limit`` (nullable), ``shuns`` (tags that rule a target out) and
+    ``slack`` (how many more targets ``keep`` may rule out). Then a tree of counts goes ahead of the pairs: targets
+    counted by cell, tags and band of heat, at each round's size. A query meets targets only in a block that counts
+    enough for it, and one for which the whole map has too few is answered from the coldest targets of each tag, which
+    are the only ones it can take. So no query meets the map because it asks for more than there is.
+
     ``per_place`` may be given when ``keep`` drops fewer than ``per_place`` less the largest ``k`` targets of any
     query: of many targets at one identical position only that many can matter.
     """
@@ -150,10 +160,19 @@ def nearest(
         size, held = _starting_size(targets, extent, count, fill=2 * (max_k + 1))
     pending = _query_columns(queries)
     finished: DataFrame | None = None
+    bands = None
+    if {"heat", "tags"} <= set(targets.columns) and {"heat_limit", "shuns", "slack"} <= set(queries.columns):
+        bands = _heat_bands(targets)
+        finished, pending = _answered_by_coldest(pending, targets, keep)
+        if pending.isEmpty():
+            return finished
     while True:
         whole_map = size >= extent
+        able = pending
+        if bands is not None and not whole_map:
+            able = written(_with_enough(pending, targets, size, bands), "knn-able")
         ranked = written(
-            _ranked_block(pending, targets, size, whole_map, keep, max_k, salted=held > CELL_SHARE),
+            _ranked_block(able, targets, size, whole_map, keep, max_k, salted=held > CELL_SHARE),
             "knn-round",
         )
         done = ranked.where("done").select("query_id", "id", "distance", "rank")
@@ -168,6 +187,69 @@ def nearest(
         size, held = size * 2, min(held * 8, count)
 
 
+def _cut_to_radius(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("distance", _separation()).where(
+        F.col("radius").isNull() | ((F.col("radius") > 0) & (F.col("distance") <= F.col("radius")))
+    )
+
+
+def _heat_bands(targets: DataFrame) -> list[float]:
+    """Upper ends of the bands of heat, so that each holds about as many targets."""
+    cuts = targets.agg(F.percentile_approx("heat", [i / HEAT_BANDS for i in range(1, HEAT_BANDS + 1)]).alias("cuts")).first()["cuts"]
+    return sorted(set(cuts or []))
+
+
+def _band(heat: Column, cuts: list[float]) -> Column:
+    """0 without heat, else 1 and the number of cuts below it."""
+    ends = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    return F.when(heat.isNull(), 0).otherwise(F.size(F.filter(ends, lambda c: c < heat)) + 1)
+
+
+def _need() -> Column:
+    return F.col("k") + F.col("slack")
+
+
+def _answered_by_coldest(pending: DataFrame, targets: DataFrame, keep: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Answers of the queries for which the map has too few targets, and the other queries.
+
+    Of every tag the coldest targets are listed, one more than any query needs. A query that finds fewer than it
+    needs among them finds all it can take there.
+    """
+    most = pending.agg(F.max(_need())).first()[0]
+    coldest = Window.partitionBy("tags").orderBy(F.col("heat").asc_nulls_first(), "id")
+    listed = targets.withColumn("n", F.row_number().over(coldest)).where(F.col("n") <= most + 1)
+    listed = written(listed.drop("n"), "knn-coldest")
+    fits = (F.col("tags").bitwiseAND(F.col("shuns")) == 0) & (F.col("heat_limit").isNull() | F.col("heat").isNull() | (F.col("heat") <= F.col("heat_limit")))
+    asked = pending.groupBy("heat_limit", "shuns").agg(F.max(_need()).alias("most"))
+    # The list holds at most 2 ** TAG_BITS times the largest number asked for, and is not more than that for any map.
+    found = asked.join(F.broadcast(listed.select("heat", "tags")), fits, "left").groupBy("heat_limit", "shuns").agg(F.count("tags").alias("there"))
+    found = written(found, "knn-there")
+    kinds = found.select(F.col("heat_limit").alias("its_limit"), F.col("shuns").alias("its_shuns"), "there")
+    same = F.col("heat_limit").eqNullSafe(F.col("its_limit")) & (F.col("shuns") == F.col("its_shuns"))
+    counted = written(pending.join(kinds, same, "left").drop("its_limit", "its_shuns"), "knn-counted")
+    few = counted.where(F.col("there") < _need()).drop("there")
+    pairs = few.join(F.broadcast(listed), fits)
+    if keep is not None:
+        pairs = pairs.where(keep)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    answers = _cut_to_radius(pairs).withColumn("rank", rank).where(F.col("rank") <= F.col("k")).select("query_id", "id", "distance", "rank")
+    return written(answers, "knn-few"), written(counted.where(~(F.col("there") < _need())).drop("there"), "knn-many")
+
+
+def _with_enough(pending: DataFrame, targets: DataFrame, size: float, cuts: list[float]) -> DataFrame:
+    """Queries whose block counts as many targets as they need, or holds their whole radius."""
+    cells = _cells_of(targets, size, "x", "y", "z").groupBy(*_CELL, "tags", _band(F.col("heat"), cuts).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    top = F.when(F.col("heat_limit").isNull(), F.lit(len(cuts) + 1)).otherwise(_band(F.col("heat_limit"), cuts))
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    near = _cells_of(pending.select("query_id", "qx", "qy", "qz", "shuns", top.alias("top")), size, "qx", "qy", "qz")
+    for c in _CELL:
+        near = near.withColumn("step", F.explode(around)).withColumn(c, F.col(c) + F.col("step")).drop("step")
+    counted = near.join(cells, _CELL).where((F.col("tags").bitwiseAND(F.col("shuns")) == 0) & (F.col("band") <= F.col("top")))
+    there = counted.groupBy("query_id").agg(F.sum("n").alias("there"))
+    inside = F.coalesce(F.col("radius") <= _room(size), F.lit(False))
+    return pending.join(there, "query_id", "left").where(inside | (F.coalesce("there", F.lit(0)) >= _need())).drop("there")
+
+
 def _room(size: float) -> Column:
     return F.least(*[room_in_block(F.col(c), size) for c in ("qx", "qy", "qz")])
 
@@ -178,9 +260,7 @@ def _ranked_block(
     pairs = _block_join(pending.withColumn("room", _room(size)), targets, size, salted)
     if keep is not None:
         pairs = pairs.where(keep)
-    pairs = pairs.withColumn("distance", _separation()).where(
-        F.col("radius").isNull() | ((F.col("radius") > 0) & (F.col("distance") <= F.col("radius")))
-    )
+    pairs = _cut_to_radius(pairs)
     by_query = Window.partitionBy("query_id")
     ranked = (
         pairs.withColumn("rank", F.row_number().over(by_query.orderBy("distance", "id")))

@@ -54,3 +54,40 @@ def test_radius_is_inclusive(spark):
     _, df = points(spark, "line")
     got = radius_join(df.withColumnRenamed("id", "query_id"), df, 1.0).where("query_id = 10")
     assert sorted(r["id"] for r in got.collect()) == [9, 10, 11]
+
+
+def test_a_query_with_too_few_matches_does_not_meet_the_map(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, rng.uniform(0, 1000), rng.uniform(0, 1000), rng.uniform(0, 1000), rng.choice([None, *[rng.uniform(0, 100)] * 9]), rng.randint(0, 3)) for i in range(2_000)]
+    targets = spark.createDataFrame(rows, "id long, x double, y double, z double, heat double, tags int")
+    asked = []
+    for i in range(60):
+        limit = [None, 0.01, 1.0, 30.0, 99.0][i % 5]
+        asked.append((i, *rows[i][1:4], [1, 5, 40][i % 3], [None, 200.0][i % 2], limit, i % 4, 1))
+    queries = spark.createDataFrame(asked, "query_id long, x double, y double, z double, k int, radius double, heat_limit double, shuns int, slack int")
+    met, whole = [], spatial._block_join
+
+    def counting(*args):
+        pairs = whole(*args)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(spatial, "_block_join", counting)
+    keep = (
+        (F.col("query_id") != F.col("id")) & (F.col("tags").bitwiseAND(F.col("shuns")) == 0)
+        & (F.col("heat_limit").isNull() | F.col("heat").isNull() | (F.col("heat") <= F.col("heat_limit")))
+    )
+    found = {}
+    for r in nearest(queries, targets, keep=keep).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    for q, x, y, z, k, radius, limit, shuns, _ in asked:
+        fit = [b for b in rows if b[0] != q and not b[5] & shuns and (limit is None or b[4] is None or b[4] <= limit)]
+        near = sorted((gap((q, x, y, z), b), b[0]) for b in fit)
+        assert [i for _, i in sorted(found.get(q, []))] == [i for d, i in near if radius is None or d <= radius][:k]
+    # Few fit: a thousand queries that each ask for more than there is meet no cell at all.
+    met.clear()
+    cold = targets.where("heat is not null")
+    many = spark.range(1_000).select(F.col("id").alias("query_id"), *[(F.rand(i) * 1000).alias(c) for i, c in enumerate("xyz")], F.lit(30).alias("k"), F.lit(None).cast("double").alias("radius"), F.lit(0.5).alias("heat_limit"), F.lit(0).alias("shuns"), F.lit(1).alias("slack"))
+    there = sum(1 for b in rows if b[4] is not None and b[4] <= 0.5)
+    answers = nearest(many, cold, keep=F.col("heat") <= F.col("heat_limit")).groupBy("query_id").count().collect()
+    assert there < 30 and {r["count"] for r in answers} == {there} and sum(met) == 0
