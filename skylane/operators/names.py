@@ -163,20 +163,7 @@ def ship_suggestions(queries: DataFrame, ships: DataFrame, limit: int = LIST_SUG
     )
 
 
-def avoid_by_folded_name(rows: DataFrame, avoided: DataFrame) -> DataFrame:
-    """Drop ``(request_id, name)`` rows whose name a request avoids, ignoring case."""
-    unwanted = avoided.select(
-        F.col("request_id").alias("avoid_request"), F.lower("avoid_name").alias("avoid_name")
-    )
-    return rows.join(
-        unwanted,
-        (F.col("request_id") == F.col("avoid_request")) & (F.lower("name") == F.col("avoid_name")),
-        "left_anti",
-    )
-
-
 __all__ = [
-    "avoid_by_folded_name",
     "duplicate_names",
     "folded",
     "name_index",

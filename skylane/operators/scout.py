@@ -9,7 +9,7 @@ from skylane.functions.geometry import METRES_PER_LIGHT_YEAR, METRES_PER_LIGHT_Y
 from skylane.functions.ship_physics import HEAT_NOMINAL
 from skylane.functions.text import is_developer_system
 from skylane.operators.enrich import fold_fuel, hop_heat
-from skylane.operators.names import avoid_by_folded_name, resolve
+from skylane.operators.names import resolve
 from skylane.operators.ordered import with_neighbours
 from skylane.operators.requests import checked, effective_scout_temperature, scout_problem, scout_requests
 from skylane.operators.spatial import nearest, radius_join
@@ -107,11 +107,6 @@ def scout_range(scouts: DataFrame, systems: DataFrame, pairs: DataFrame) -> Data
     )
 
 
-def without_avoided(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """Drop rows whose name their request avoids, whatever the case."""
-    return avoid_by_folded_name(rows, requests.select("request_id", F.explode("avoid").alias("avoid_name")))
-
-
 def within_of(
     anchors: DataFrame,
     systems: DataFrame,

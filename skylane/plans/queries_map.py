@@ -557,12 +557,30 @@ def dataset_info(m: SampleMap) -> DataFrame:
     ("systems",),
 )
 def spatial_layout(m: SampleMap) -> DataFrame:
-    cells = datasets.system_cells(m.systems, 40.0)
-    return cells.groupBy("cx", "cy", "cz").agg(
+    """Systems per cell of the stored layout, read back."""
+    return _stored_cells(m).groupBy("cx", "cy", "cz").agg(
         F.count(F.lit(1)).alias("systems"), r6(F.min("min_external_temp")).alias("coldest")
     )
 
 
+def _stored_cells(m: SampleMap) -> DataFrame:
+    path = f"{work_area(m.spark)}/cells-{uuid.uuid4().hex}"
+    print_of = datasets.fingerprint(m.bare_systems.select("id", "x", "y", "z")).first()["fingerprint"]
+    datasets.write_system_cells(datasets.system_cells(m.systems, 40.0), path, fingerprint_text=print_of, release_tag="tag-1", slabs=16)
+    return datasets.read_system_cells(m.spark, path)
+
+
+@query(
+    """SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(min_external_temp, 6) AS min_external_temp, 'tag-1' AS release_tag
+       FROM systems WHERE floor(x / 40) BETWEEN 3 AND 11 AND floor(y / 40) BETWEEN 2 AND 12 AND floor(z / 40) BETWEEN 0 AND 1""",
+    ("systems",),
+)
+def layout_box(m: SampleMap) -> DataFrame:
+    """The systems in a box of cells, found in the stored layout by its statistics."""
+    found = datasets.cells_in_box(_stored_cells(m), (3, 2, 0), (11, 12, 1))
+    return found.select("id", *[r6(c).alias(c) for c in ("x", "y", "z", "min_external_temp")], "release_tag")
+
+
 @query(
     """SELECT DISTINCT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(min_external_temp, 6) AS min_external_temp
        FROM systems WHERE id IN (SELECT 30000000 + user_id FROM events)""",
@@ -570,5 +588,5 @@ def spatial_layout(m: SampleMap) -> DataFrame:
 )
 def layout_lookup(m: SampleMap) -> DataFrame:
     ids = m.source("events").select((F.col("user_id") + 30_000_000).alias("id")).distinct()
-    found = datasets.lookup(ids, datasets.system_cells(m.systems, 40.0))
+    found = datasets.lookup(ids, _stored_cells(m))
     return found.select("id", *[r6(c).alias(c) for c in ("x", "y", "z", "min_external_temp")])

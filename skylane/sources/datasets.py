@@ -277,30 +277,68 @@ def dataset_info(systems: DataFrame, pairs: DataFrame) -> DataFrame:
 # --- spatial layout ---------------------------------------------------------------------------------------
 
 
+# Bits of a cell's number along one axis in its place in the Z order, and the number that the middle of the map gets.
+_AXIS_BITS = 20
+_MIDDLE = 1 << (_AXIS_BITS - 1)
+
+
+def _spaced(value: Column) -> Column:
+    """The bits of a number below 2**_AXIS_BITS, two zeros between any two of them."""
+    out = value.cast("long")
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask))
+    return out
+
+
+def z_order(cx: Column, cy: Column, cz: Column) -> Column:
+    """A cell's place on the Z curve: the bits of its three numbers in turn, so near cells mostly have near places.
+
+    Cells beyond ``_MIDDLE`` of the map's middle share the place of the outermost ones.
+    """
+    x, y, z = (_spaced(F.least(F.greatest(c + _MIDDLE, F.lit(0)), F.lit(2 * _MIDDLE - 1))) for c in (cx, cy, cz))
+    return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
+
+
 def system_cells(systems: DataFrame, cell_size: float) -> DataFrame:
-    """Positioned systems keyed by the grid cell that holds them."""
-    return systems.where(F.col("x").isNotNull()).select(
+    """Positioned systems keyed by the grid cell that holds them, with the cell's place on the Z curve."""
+    cells = systems.where(F.col("x").isNotNull()).select(
         *[cell(F.col(c), cell_size).alias(f"c{c}") for c in "xyz"], "id", "x", "y", "z", "min_external_temp"
     )
+    return cells.withColumn("place", z_order(F.col("cx"), F.col("cy"), F.col("cz")))
 
 
 def write_system_cells(
-    cells: DataFrame, path: str, *, fingerprint_text: str, release_tag: str | None = None, slabs: int = 64
+    cells: DataFrame, path: str, *, fingerprint_text: str, release_tag: str | None = None, slabs: int = 64, group_bytes: int | None = None
 ) -> None:
-    """Write the layout sorted by cell, each row with the provenance of the dataset it came from.
+    """Write the layout along the Z curve, each row with the provenance of the dataset it came from.
 
-    Rows are spread over files by cell range, so a reader that filters on cells skips files and row
-    groups by their statistics.
+    Rows are spread over files by ranges of the curve and sorted along it, so the rows of a file, and of a row group
+    within it, lie in a compact part of the map, and a reader that filters on cells skips the others by their statistics.
     """
-    (
+    rows = (
         cells.withColumn("source_fingerprint", F.lit(fingerprint_text))
         .withColumn("release_tag", F.lit(release_tag).cast("string"))
         .withColumn("built_at", F.current_timestamp())
-        .repartitionByRange(slabs, "cx", "cy", "cz")
-        .sortWithinPartitions("cx", "cy", "cz")
-        .write.mode("errorifexists")
-        .parquet(path)
+        .repartitionByRange(slabs, "place")
+        .sortWithinPartitions("place")
     )
+    writer = rows.write.mode("errorifexists")
+    if group_bytes is not None:
+        writer = writer.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
+
+
+def cells_in_box(cells: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
+    """The layout's rows in a box of cells, both ends included.
+
+    Filters on the plain columns reach the scan. The box lies between the places of its two ends on the curve, which
+    cuts the files to a range; the three axes cut the row groups within.
+    """
+    ends = [z_order(*[F.lit(v) for v in corner]) for corner in (low, high)]
+    box = F.col("place").between(*ends)
+    for c, a, b in zip(("cx", "cy", "cz"), low, high):
+        box = box & F.col(c).between(a, b)
+    return cells.where(box)
 
 
 def read_system_cells(spark: SparkSession, path: str) -> DataFrame:

@@ -172,3 +172,27 @@ def test_spatial_layout_round_trip(spark, tmp_path):
     assert cells.count() == 50 and cells.where("source_fingerprint = 'f' and built_at is not null").count() == 50
     found = datasets.lookup(spark.createDataFrame([(3,), (99,)], "id long"), cells).collect()
     assert [(r["id"], r["x"], r["z"]) for r in found] == [(3, 3.0, -3.0)]
+
+
+def test_the_stored_layout_skips_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    systems = spark.createDataFrame(
+        [(i, (i * 7919 % 1009) - 500.0, (i * 104729 % 997) - 500.0, (i * 1299709 % 991) - 500.0, 1.0) for i in range(40_000)],
+        "id long, x double, y double, z double, min_external_temp double",
+    )
+    path = str(tmp_path / "cells")
+    datasets.write_system_cells(datasets.system_cells(systems, 50.0), path, fingerprint_text="f", slabs=8, group_bytes=20_000)
+    low, high = (-4, 1, -6), (-2, 3, -5)
+    cells = datasets.read_system_cells(spark, path)
+    found = datasets.cells_in_box(cells, low, high)
+    brute = cells.where("cx between -4 and -2 and cy between 1 and 3 and cz between -6 and -5")
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in brute.collect()) != []
+    kept = groups = 0
+    for file in (tmp_path / "cells").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            stats = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c).statistics for c in range(meta.num_columns)}
+            groups += 1
+            kept += all(stats[c].max >= a and stats[c].min <= b for c, a, b in zip(("cx", "cy", "cz"), low, high))
+    assert groups >= 40 and kept <= groups / 4
