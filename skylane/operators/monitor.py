@@ -111,6 +111,26 @@ def count_quantiles(rows: DataFrame, label: str, value: str) -> DataFrame:
     )
 
 
+def answer_sizes(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Per request the neighbours returned and the bytes of their names in the response; none counts as 0.
+
+    Requests carry ``request_id, query_type``, answers ``request_id, name``. Answers shrink to one row per request
+    before they meet, so a request with very many is no heavy key.
+    """
+    sizes = answers.groupBy("request_id").agg(F.count(F.lit(1)).alias("neighbours"), F.sum(F.octet_length("name") + 1).alias("bytes"))
+    none = F.lit(0).cast("long")
+    return requests.select("request_id", "query_type").join(sizes, "request_id", "left").select(
+        "request_id", "query_type", F.coalesce("neighbours", none).alias("neighbours"), F.coalesce("bytes", none).alias("bytes")
+    )
+
+
+def size_quantiles(sizes: DataFrame, label: str, measures: list[str]) -> DataFrame:
+    """Observations, mean, p50 and p95 of several whole-number measures per label, in one pass over the rows."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("size")) for m in measures])).alias("pair")
+    rows = sizes.select(F.col(label).alias("label"), pairs).select(F.struct("label", "pair.measure").alias("of"), F.col("pair.size").alias("size"))
+    return count_quantiles(rows, "of", "size").select(F.col("of.label").alias(label), F.col("of.measure").alias("measure"), "observations", "mean", "p50", "p95")
+
+
 def share(part: Column, whole: Column) -> Column:
     return part / F.nullif(whole, F.lit(0))
 

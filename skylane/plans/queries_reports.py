@@ -272,6 +272,27 @@ def hop_quantiles(m: SampleMap) -> DataFrame:
     return monitor.count_quantiles(lengths, "mode", "hops").withColumns({c: r6(c) for c in ("mean", "p50", "p95")})
 
 
+@query(
+    """WITH RECURSIVE asked AS (SELECT request_id, system, CASE WHEN include_dev THEN 'all' ELSE 'listed' END AS query_type, include_dev FROM scout_requests),
+       given AS (SELECT r.request_id, count(n.id) AS neighbours, coalesce(sum(strlen(n.name) + 1), 0) AS bytes
+         FROM asked r LEFT JOIN (SELECT name, min(id) AS id FROM systems GROUP BY name) s ON s.name = r.system
+         LEFT JOIN pairs p ON p.src = s.id
+         LEFT JOIN systems n ON n.id = p.dst AND (include_dev OR NOT regexp_full_match(n.name, '(AD|V-)[0-9]+'))
+         GROUP BY r.request_id),
+       sizes AS (SELECT query_type, 'neighbours' AS measure, CAST(neighbours AS DOUBLE) AS size FROM asked JOIN given USING (request_id)
+         UNION ALL SELECT query_type, 'bytes', CAST(bytes AS DOUBLE) FROM asked JOIN given USING (request_id))
+       SELECT query_type, measure, count(*) AS observations, round(avg(size), 6) AS mean, round(quantile_cont(size, 5e-1), 6) AS p50,
+              round(quantile_cont(size, 95e-2), 6) AS p95 FROM sizes GROUP BY query_type, measure""",
+    ("scout_requests", "systems", "pairs"),
+)
+def answer_sizes(m: SampleMap) -> DataFrame:
+    """Neighbours returned and response size over the answers to every gate request."""
+    kinds = F.when(F.col("include_dev"), "all").otherwise("listed")
+    sizes = monitor.answer_sizes(m.scout_requests.withColumn("query_type", kinds), queries_routes.scout_gates(m))
+    found = monitor.size_quantiles(sizes, "query_type", ["neighbours", "bytes"])
+    return found.withColumns({c: r6(c) for c in ("mean", "p50", "p95")})
+
+
 _MINUTES_SQL = f"""WITH RECURSIVE
 log AS MATERIALIZED (SELECT *, date_trunc('minute', ts) AS minute FROM request_log),
 minutes AS MATERIALIZED (
@@ -399,6 +420,22 @@ def streamed_request_counts(m: SampleMap) -> DataFrame:
     )
 
 
+@query(
+    """WITH RECURSIVE w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, * FROM request_log)
+       SELECT window_start, path, CASE WHEN status BETWEEN 200 AND 599 THEN concat(CAST(status // 100 AS VARCHAR), 'xx') ELSE 'other' END
+              AS status_class, count(*) AS requests, @LE@, count(latency_ms) AS le_11
+       FROM w GROUP BY 1, 2, 3
+       HAVING window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM request_log) - INTERVAL 10 MINUTE""".replace("@LE@", _LE),
+    ("request_log",),
+)
+def streamed_five_minute_counts(m: SampleMap) -> DataFrame:
+    """Counters and latency buckets of five minutes, merged from those of single minutes within the stream."""
+    counts = metrics.merged_counts(_stamped(_event_stream(m, REQUEST_LOG)), "5 minutes")
+    return _drained(m, counts, "five-minutes").select(
+        _wall_clock("window_start").alias("window_start"), "path", "status_class", "requests", *monitor.BUCKETS
+    )
+
+
 _STREAM_ALERT_SQL = _MINUTES_SQL + """, final AS (
   SELECT * FROM judged WHERE alert = 'HighErrorRate' AND at_minute <= (SELECT max(ts) FROM request_log) - INTERVAL 10 MINUTE)
 """

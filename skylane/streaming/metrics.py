@@ -34,6 +34,21 @@ def windowed_counts(log: DataFrame, length: str = "1 minute", slide: str | None
     )
 
 
+def merged_counts(log: DataFrame, length: str) -> DataFrame:
+    """Requests and latency buckets of longer windows, merged from the minutes' buckets rather than from raw rows."""
+    minutes = (
+        log.withWatermark("ts", LATENESS)
+        .withColumn("status_class", status_class(F.col("status")))
+        .groupBy(F.window("ts", "1 minute"), "path", "status_class")
+        .agg(F.count(F.lit(1)).alias("requests"), *bucket_counts(F.col("latency_ms") / 1000.0))
+    )
+    return (
+        minutes.groupBy(F.window(F.window_time("window"), length), "path", "status_class")
+        .agg(*[F.sum(c).alias(c) for c in ("requests", *BUCKETS)])
+        .select(F.col("window.start").alias("window_start"), "path", "status_class", "requests", *BUCKETS)
+    )
+
+
 def windowed_evaluations(log: DataFrame, alert: Alert) -> DataFrame:
     """``alert, path, at_minute, value, breached`` of one alert, from windows that slide by a minute.
 
