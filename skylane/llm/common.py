@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skylane.session import written_counting
+from skylane.session import HOT_SHARE, counted, join_answers
+
+__all__ = ["HOT_SHARE", "WHITE_CLASS", "counted", "join_answers", "let", "text_of"]
 
 # The characters that separate words (fixed values: blank, tab, line feed, vertical tab, form feed, carriage return).
 WHITE_CLASS = r"[\x20\x09-\x0D]"
-# A key counts as hot when it holds at least one row in HOT_SHARE; so there are never more than HOT_SHARE hot keys.
-HOT_SHARE = 1000
 
 
 def text_of(column: str = "text") -> Column:
@@ -23,23 +23,3 @@ def text_of(column: str = "text") -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body refers to it."""
     return F.transform(F.array(value), body)[0]
-
-
-def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """``df`` as a written table, and its number of rows."""
-    return written_counting(df, label, F.lit(True))
-
-
-def join_answers(rows: DataFrame, answers: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """``rows`` (``total`` of them) inner joined to ``answers``, which has one row per ``key``.
-
-    ``weight`` counts the rows of a key. Hot keys are answered by a broadcast, which has at most
-    ``HOT_SHARE`` rows whatever the input; what remains has no key above one row in ``HOT_SHARE`` and
-    goes through an ordinary join. Both inputs should be written tables, they are read twice.
-    """
-    is_hot = F.col(weight) * F.lit(HOT_SHARE) >= F.lit(total)
-    hot = answers.filter(is_hot)
-    cold = answers.filter(~is_hot)
-    by_broadcast = rows.join(F.broadcast(hot), key)
-    by_shuffle = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-    return by_broadcast.unionByName(by_shuffle)
