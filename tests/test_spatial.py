@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skylane.operators import spatial
+from skylane import session
+from skylane.operators import edges, spatial
 from skylane.operators.spatial import nearest, radius_join
 
 
@@ -91,3 +92,36 @@ def test_a_query_with_too_few_matches_does_not_meet_the_map(spark, monkeypatch):
     there = sum(1 for b in rows if b[4] is not None and b[4] <= 0.5)
     answers = nearest(many, cold, keep=F.col("heat") <= F.col("heat_limit")).groupBy("query_id").count().collect()
     assert there < 30 and {r["count"] for r in answers} == {there} and sum(met) == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted_sides_are_not_broadcast_by_their_files(spark, monkeypatch):
+    """Copies under sub-keys or cells are many more rows than the small files they come from."""
+    _, df = points(spark, "even")
+    queries = df.withColumnRenamed("id", "query_id")
+    expected = {tuple(r) for r in radius_join(queries, df, 20.0).select("query_id", "id").collect()}
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 100, raising=False)
+    looked_up = session.spread_lookup(queries.select("query_id"), df.withColumnRenamed("id", "query_id"), "query_id", "query_id", 300)
+    assert looked_up.count() == 300
+    assert "Broadcast" not in plan_of(looked_up)
+    near = radius_join(queries, df, 20.0)
+    assert {tuple(r) for r in near.select("query_id", "id").collect()} == expected
+    assert "SortMergeJoin [c" in plan_of(near)
+
+
+def test_radius_graphs_meet_their_limits_where_pairs_are_formed(spark):
+    """No join stands above the one that forms the pairs."""
+    _, df = points(spark, "even")
+    systems = df.withColumn("min_external_temp", (F.col("id") % 60).cast("double"))
+    graphs = edges.graph_table(spark, [edges.NeighbourGraph(1, 15.0, 30.0), edges.NeighbourGraph(2, 25.0)])
+    found = edges.neighbour_edges(systems, graphs)
+    rows = systems.collect()
+    close = {(g, a["id"], b["id"]) for a in rows for b in rows for g, reach, heat in ((1, 15.0, 30.0), (2, 25.0, 99.0))
+             if a["id"] != b["id"] and gap(a, b) <= reach and b["min_external_temp"] <= heat}
+    assert {(r["graph_id"], r["src"], r["dst"]) for r in found.collect()} == close
+    joins = [line for line in plan_of(found).splitlines() if "Join" in line and "[c" not in line]
+    assert joins == []
