@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylane.session import written
+
 # Fixed values of the token format.
 BASE_SYSTEM_ID = 30_000_000
 TOKEN_VERSION = 1
@@ -65,14 +67,14 @@ def pack_tokens(waypoints: DataFrame) -> DataFrame:
         waypoints.join(shape.where("problem is null").select("route_id", "bit_width"), "route_id")
         .select("route_id", "pos", F.floor(F.col("pos") / PIECE).alias("piece"), field.alias("field"))
         .groupBy("route_id", "piece")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "field"))), lambda p: p["field"]), "").alias("bits"))
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "field"))), lambda p: p["field"]), "").alias("bits"))
     )
     padded = F.rpad("bits", (F.ceil(F.length("bits") / 8) * 8).cast("int"), F.lit("0"))
     # At most MAX_WAYPOINTS / PIECE pieces are left to join per route.
     payloads = (
         pieces.select("route_id", "piece", _nibbles(padded).alias("hex"))
         .groupBy("route_id")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "hex"))), lambda p: p["hex"]), "").alias("payload"))
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "hex"))), lambda p: p["hex"]), "").alias("payload"))
     )
     return shape.join(payloads, "route_id", "left").select(
         "route_id",
@@ -124,7 +126,8 @@ def unpack_tokens(tokens: DataFrame) -> DataFrame:
 
     An unreadable token gives one row with its problem; an unknown waypoint type is a problem of that row.
     """
-    read = token_headers(tokens)
+    # Both the waypoints and the problems are read from it, so the tokens are made once.
+    read = written(token_headers(tokens), "token-headers")
     width = F.col("bit_width") + TYPE_BITS
     slices = read.where("problem is null and waypoints > 0").select(
         "route_id",
@@ -146,12 +149,19 @@ def unpack_tokens(tokens: DataFrame) -> DataFrame:
     first = F.floor(F.col("nth") * width / 8).cast("int")
     last = F.floor(((F.col("nth") + 1) * width - 1) / 8).cast("int")
     digits = F.substring("hex", first * 2 + 1, (last - first + 1) * 2)
-    bits = F.lpad(F.conv(digits, 16, 2), (last - first + 1) * 8, F.lit("0"))
-    fields = fields.withColumn("pos", F.col("slice") * SLICE + F.col("nth")).withColumn(
-        "field", F.substring(bits, F.col("nth") * width - first * 8 + 1, width)
+    # At most 5 bytes, so that they are a number: what follows the field is shifted off, what precedes it is masked.
+    after = (last - first + 1) * 8 - (F.col("nth") * width - first * 8) - width
+    fields = fields.withColumn("pos", F.col("slice") * SLICE + F.col("nth")).withColumns(
+        {"held_bits": F.conv(digits, 16, 10).cast("long"), "after": after.cast("int")}
+    )
+    shifted = F.call_function("shiftright", F.col("held_bits"), F.col("after"))
+    fields = fields.withColumn("field", shifted)
+    system = (
+        F.call_function("shiftright", F.col("field"), F.lit(TYPE_BITS))
+        .bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit_width")) - 1)
+        + BASE_SYSTEM_ID
     )
-    system = F.conv(F.substring("field", F.lit(1), F.col("bit_width")), 2, 10).cast("long") + BASE_SYSTEM_ID
-    kind = F.conv(F.substring("field", F.col("bit_width") + 1, F.lit(TYPE_BITS)), 2, 10).cast("int")
+    kind = F.col("field").bitwiseAND((1 << TYPE_BITS) - 1).cast("int")
     waypoints = fields.select(
         "route_id",
         "pos",
