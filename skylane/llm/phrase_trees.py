@@ -41,8 +41,9 @@ from skylane.session import small_side, written
 DEPTH = 4
 # Suffixes that one group holds at most, but for chance; prefixes with more than an eighth of it are extended.
 BUDGET = 1_000_000
-# Bytes of text that a task counts together before it sends counts on.
+# Bytes of text that a task counts together before it sends counts on, and suffixes that it spells out at a time.
 PORTION = 6_000_000
+SPELLED = 50_000
 WORD_BITS, PAIR_BITS, HEAVY_BITS = 24, 26, 20
 # Splits of a language in which its best phrases are sought first.
 RANK_SPLITS = 32
@@ -63,7 +64,7 @@ class _Words:
         numbers.default_factory = numbers.__len__
         numbers[_BREAK], numbers[b""]  # 0 and 1
         shown = _BREAK.join(texts).translate(_LETTERS).replace(_BREAK, b" \n ").split(b" ")
-        order = np.fromiter(map(numbers.__getitem__, shown), dtype=np.int64, count=len(shown))
+        order = np.fromiter(map(numbers.__getitem__, shown), dtype=np.int32, count=len(shown))
         self.order = order[order != 1] - 2
         self.order[self.order < 0] = -1
         self.words = list(numbers)[2:]
@@ -97,8 +98,10 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Words]]
     """The words of a task's texts by language, some megabytes at a time."""
     texts, held = defaultdict(list), 0
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for part in _parts(text):
+        # Row by row: the texts of a whole batch beside their bytes would be held twice.
+        for lang, text in zip(batch.column(0), batch.column(1)):
+            lang = lang.as_py()
+            for part in _parts(text.as_py()):
                 texts[lang].append(part)
                 held += len(part)
                 if held >= PORTION:
@@ -141,7 +144,7 @@ def pair_counts(texts: DataFrame, frequent: np.ndarray, least: int) -> DataFrame
             stays = np.append(holds(frequent, hashes), False)
             a, b = held.order[:-1], held.order[1:]
             both = stays[a] & stays[b]
-            pairs, f = np.unique(a[both] * len(hashes) + b[both], return_counts=True)
+            pairs, f = np.unique(a[both].astype(np.int64) * len(hashes) + b[both], return_counts=True)
             if len(pairs):
                 h = joined_hash(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f)], names=["hash", "f"])
@@ -150,6 +153,38 @@ def pair_counts(texts: DataFrame, frequent: np.ndarray, least: int) -> DataFrame
     return written(rows.groupBy("hash").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "pairs")
 
 
+def _counted_ways(order: np.ndarray, hashes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different suffixes of a portion as rows of word numbers (-1 after the end), and how often each occurs."""
+    padded = np.concatenate((order, np.full(DEPTH, -1, dtype=np.int32)))
+    goes_on = (padded[:-1] >= 0) & (padded[1:] >= 0)
+    for low in range(0, len(goes_on), SPELLED):
+        on = goes_on[low : low + SPELLED]
+        at = low + np.flatnonzero(on)
+        on[on] = holds(pairs, joined_hash(hashes[padded[at]], hashes[padded[at + 1]]))
+    begins = np.flatnonzero(goes_on[: len(order)])
+    # Two numbers a row are sorted faster than four.
+    width = len(hashes) + 1
+    keys = []
+    stays = np.ones(len(begins), dtype=bool)
+    for k in range(DEPTH):
+        if k:
+            stays &= goes_on[begins + (k - 1)]
+        way = np.where(stays, padded[begins + k], np.int32(-1)).astype(np.int64) + 1
+        keys = [*keys, way * width] if k % 2 == 0 else [*keys[:-1], keys[-1] + way]
+    del begins, stays, way, padded, goes_on
+    places = np.lexsort(keys[::-1])
+    keys = [key[places] for key in keys]
+    del places
+    changes = np.ones(len(keys[0]), dtype=bool)
+    changes[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])
+    starts = np.flatnonzero(changes)
+    ways = np.empty((len(starts), DEPTH), dtype=np.int32)
+    for k, key in enumerate(keys):
+        key = key[starts]
+        ways[:, 2 * k], ways[:, 2 * k + 1] = key // width - 1, key % width - 1
+    return ways, np.diff(np.append(starts, len(changes)))
+
+
 def suffixes(texts: DataFrame, pairs: np.ndarray, heavy_words: np.ndarray, heavy_pairs: np.ndarray, groups: int) -> DataFrame:
     """group_id, lang, suffix (two to four words), prefix (words of it that chose the group), f."""
     schema = pa.schema([("group_id", pa.int32()), ("lang", pa.string()), ("suffix", pa.string()), ("prefix", pa.int32()), ("f", pa.int64())])
@@ -159,41 +194,25 @@ def suffixes(texts: DataFrame, pairs: np.ndarray, heavy_words: np.ndarray, heavy
             hashes = held.hashes(lang)
             if not len(hashes):
                 continue
-            padded = np.concatenate((held.order, np.full(DEPTH, -1)))
-            a, b = padded[:-1], padded[1:]
-            goes_on = (a >= 0) & (b >= 0)
-            goes_on[goes_on] = holds(pairs, joined_hash(hashes[a[goes_on]], hashes[b[goes_on]]))
-            begins = np.flatnonzero(goes_on[: len(held.order)])
-            ways = np.full((len(begins), DEPTH), -1)
-            stays = np.ones(len(begins), dtype=bool)
-            for k in range(DEPTH):
-                stays &= goes_on[begins + k - 1] if k else True
-                ways[stays, k] = padded[begins[stays] + k]
-            if not len(begins):
-                continue
-            # Two numbers a row are sorted faster than four.
-            width = len(hashes) + 1
-            keys = np.stack(((ways[:, 0] + 1) * width + ways[:, 1] + 1, (ways[:, 2] + 1) * width + ways[:, 3] + 1), axis=1)
-            order = np.lexsort((keys[:, 1], keys[:, 0]))
-            keys, ways = keys[order], ways[order]
-            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-            ways, f = ways[starts], np.diff(np.append(starts, len(keys)))
-            depth = (ways >= 0).sum(axis=1)
-            by = hashes[ways[:, 0]]
-            pair = joined_hash(by, hashes[ways[:, 1]])
-            prefix = np.where(~holds(heavy_words, by), 1, np.where(~holds(heavy_pairs, pair), 2, DEPTH))
-            by = np.where(prefix >= 2, pair, by)
-            for k in (2, 3):
-                longer = (prefix > k) & (depth > k)
-                by[longer] = joined_hash(by[longer], hashes[ways[longer, k]])
+            ways, f = _counted_ways(held.order, hashes, pairs)
             words = _strings(held.words)
-            columns = [words.take(pa.array(ways[:, k], mask=ways[:, k] < 0)) for k in range(DEPTH)]
-            suffix = pc.binary_join_element_wise(*columns, " ", null_handling="skip")
-            group = ((by >> np.uint64(20)) % np.uint64(groups)).astype(np.int32)
-            made = [pa.array(group), _of_lang(lang, len(f)), suffix, pa.array(prefix.astype(np.int32)), pa.array(f)]
-            batch = pa.RecordBatch.from_arrays(made, schema=schema)
-            for low in range(0, len(f), 50_000):
-                yield batch.slice(low, 50_000)
+            for low in range(0, len(f), SPELLED):
+                yield spelled(lang, hashes, words, ways[low : low + SPELLED], f[low : low + SPELLED])
+
+    def spelled(lang: str, hashes: np.ndarray, words: pa.Array, ways: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        depth = (ways >= 0).sum(axis=1)
+        by = hashes[ways[:, 0]]
+        pair = joined_hash(by, hashes[ways[:, 1]])
+        prefix = np.where(~holds(heavy_words, by), 1, np.where(~holds(heavy_pairs, pair), 2, DEPTH))
+        by = np.where(prefix >= 2, pair, by)
+        for k in (2, 3):
+            longer = (prefix > k) & (depth > k)
+            by[longer] = joined_hash(by[longer], hashes[ways[longer, k]])
+        columns = [words.take(pa.array(ways[:, k], mask=ways[:, k] < 0)) for k in range(DEPTH)]
+        suffix = pc.binary_join_element_wise(*columns, " ", null_handling="skip")
+        group = ((by >> np.uint64(20)) % np.uint64(groups)).astype(np.int32)
+        made = [pa.array(group), _of_lang(lang, len(f)), suffix, pa.array(prefix.astype(np.int32)), pa.array(f)]
+        return pa.RecordBatch.from_arrays(made, schema=schema)
 
     return texts.mapInArrow(run, "group_id int, lang string, suffix string, prefix int, f long")
 
@@ -204,7 +223,7 @@ def subtree(group: pa.Table) -> pa.Table:
     words = pc.split_pattern(group["suffix"].chunk(0), " ")
     flat = words.flatten().dictionary_encode()
     depth = np.diff(words.offsets.to_numpy())
-    ways = np.full((len(depth), DEPTH + 1), -1)
+    ways = np.full((len(depth), DEPTH + 1), -1, dtype=np.int32)
     ways[:, 0] = group["lang"].chunk(0).dictionary_encode().indices.to_numpy()
     ways[:, 1:][np.arange(DEPTH) < depth[:, None]] = flat.indices.to_numpy()
     order = np.lexsort(ways.T[::-1])
@@ -218,7 +237,7 @@ def subtree(group: pa.Table) -> pa.Table:
         whole = np.minimum.reduceat((prefix <= k).astype(np.int8), starts) == 1
         kept = depth[starts] >= k
         starts, totals, whole = starts[kept], totals[kept], whole[kept]
-        spelled = [pa.DictionaryArray.from_arrays(pa.array(ways[starts, j].astype(np.int32)), flat.dictionary).cast(pa.string()) for j in range(1, k + 1)]
+        spelled = [pa.DictionaryArray.from_arrays(pa.array(ways[starts, j]), flat.dictionary).cast(pa.string()) for j in range(1, k + 1)]
         phrase = pc.binary_join_element_wise(*spelled, " ")
         out.append(pa.table({"lang": group["lang"].take(pa.array(order[starts])), "phrase": phrase, "f": pa.array(totals), "whole": pa.array(whole)}))
     return pa.concat_tables(out).cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64()), ("whole", pa.bool_())]))

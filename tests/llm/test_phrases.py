@@ -2,8 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from skylane.llm import phrase_trees
@@ -73,6 +77,25 @@ def test_full_bit_tables_change_nothing(spark, monkeypatch):
     assert collected(phrase_trees.collocations(table(spark, rows, COLUMNS), 5, 60)) == brute(rows, 5, 60)
 
 
+def test_suffixes_are_spelled_in_bounded_memory():
+    r = random.Random(5)
+    words = 200_000
+    text = " ".join(f"w{r.randint(0, 5_000)}" for _ in range(words))
+    every = np.full(1, -1, dtype=np.int64).view(np.uint64)
+    run = phrase_trees.suffixes(SimpleNamespace(mapInArrow=lambda run, schema: run), every, every, every * 0, 8)
+    before, most, found = pa.total_allocated_bytes(), 0, 0
+    tracemalloc.start()
+    for batch in run(iter([pa.record_batch([pa.array(["en"]), pa.array([text])], names=["lang", "text"])])):
+        found += sum(batch.column(4).to_pylist())
+        most = max(most, pa.total_allocated_bytes() - before)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == words - 1
+    # Spelled suffixes held at once, and the numbers beside them: 14.8 MB and 280 bytes a word when a portion was spelled whole.
+    assert most < 6_000_000
+    assert peak < 240 * words
+
+
 def test_edge_texts(spark):
     rows = [(i, None, t) for i, t in edge_rows()] + [(50, "en", None), (51, "en", "  "), (52, "xx", "alone"), (53, "x", "b " * 100), (54, "x", "a\x0bb c\x85d e f\x1cg " * 40)]
     found = collected(phrase_trees.collocations(table(spark, rows, COLUMNS)))
