@@ -314,10 +314,12 @@ class _Search:
         longer = lists.filter(F.col("members") > LONG_LIST).groupBy("rep").agg(F.count(F.lit(1)).alias("longer"), F.first("matches").alias("matches"))
         longer = written(longer, "in-long-lists")
         short = lists.filter(F.col("members") <= LONG_LIST).select("token", "rep", "n", "matches")
-        other = short.select("token", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "matches")])
-        met = short.join(other, "token").filter((F.col("rep") < F.col("o_rep")) & self.similarity.similar_sizes(F.col("n"), F.col("o_n")))
-        met = met.groupBy(F.col("rep").alias("a"), F.col("o_rep").alias("b")).agg(
-            F.count(F.lit(1)).alias("met"), F.first(F.least("matches", "o_matches")).alias("needed")
+        # Both sides carry the same columns, so that they are shuffled once.
+        met = short.alias("x").join(short.alias("y"), "token").filter(
+            (F.col("x.rep") < F.col("y.rep")) & self.similarity.similar_sizes(F.col("x.n"), F.col("y.n"))
+        )
+        met = met.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(
+            F.count(F.lit(1)).alias("met"), F.first(F.least("x.matches", "y.matches")).alias("needed")
         )
         met = written(met, "met")
         beside = longer.select(F.col("rep").alias("a"), F.col("longer").alias("a_longer"))
@@ -331,9 +333,10 @@ class _Search:
         named = sets.select("rep", "node", "n")
         sizes = family.join(named, "rep").groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"))
         one_task = (F.col("members") <= BLOCK) & (F.col("elements") <= BLOCK_ELEMENTS)
-        family = written(family.join(sizes.select("family", one_task.alias("one_task")), "family"), "families")
+        family, rows = written_counting(family.join(sizes.select("family", one_task.alias("one_task")), "family"), "families", F.col("one_task"))
         percent = self.similarity.percent
-        small = family.filter("one_task").join(sets, "rep").select("family", "node", "items")
+        # Where the families are counted small they go to the sets, which then travel once, to their family.
+        small = sets.join(small_side(family.filter("one_task").select("rep", "family"), rows), "rep").select("family", "node", "items")
         together = small.groupBy("family").applyInArrow(lambda t: family_links(t, percent), "a binary, b binary")
         large = family.filter("NOT one_task").select(F.col("rep").alias("a"))
         named = named.select("rep", "node")

@@ -133,6 +133,36 @@ def test_long_lists_of_one_base_with_own_tails(spark, similarity, tails):
     assert collected(adaptive_join.similarity_classes(table(spark, rows), similarity)) == expected
 
 
+def test_lists_and_sets_of_few_families_are_shuffled_once(spark, monkeypatch):
+    plans, write = {}, adaptive_join.written
+
+    def planned(df, label, *more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label, *more)
+
+    monkeypatch.setattr(adaptive_join, "written", planned)
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = [(10 * family + j, changed(prose(family, 150), 10 * family + j, 0.004)) for family in range(3) for j in range(4)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = collected(adaptive_join.similarity_classes(table(spark, rows), Similarity(3, 90)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == brute_classes(rows, Similarity(3, 90))
+    # The sets go to their family, and to nothing before; the lists meet themselves.
+    assert plans["family-links"].count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plans["family-links"]
+    assert "ReusedExchange" in plans["met"]
+
+
+def test_families_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("skylane.session.BROADCAST_ROWS", 0)
+    rows = [(10 * family + j, changed(prose(family, 150), 10 * family + j, 0.004)) for family in range(3) for j in range(4)]
+    assert collected(adaptive_join.similarity_classes(table(spark, rows), Similarity(3, 90))) == brute_classes(rows, Similarity(3, 90))
+
+
 def test_nothing_to_link(spark):
     assert adaptive_join.similarity_classes(empty(spark), Similarity(3, 90)).collect() == []
     rows = [(1, "a b c d"), (2, "e f g h")]
